@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqjoin.llm.heavy import frequent_values
+from seqjoin.llm.seen import SeenStore, seen_reads, sequence_key, wrong_answers
 from seqjoin.llm.topn import top_n_per_group
 
 
@@ -55,6 +56,36 @@ SELECT mseq, count(*) AS n_rows FROM rec WHERE mseq <> ''
 GROUP BY mseq HAVING count(*) >= 0.0025 * (SELECT count(*) FROM rec)
 """
 
+# 5: keys seen before
+
+
+def _history(spark: SparkSession, sf_dir: str) -> SeenStore:
+    store = SeenStore(spark)
+    store.add(_table(spark, sf_dir, "results").select(sequence_key(F.col("seq")).alias("key")))
+    return store
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reads = _table(spark, sf_dir, "read_in_seq")
+    return seen_reads(reads, "read_no", sequence_key(F.col("seq")), _history(spark, sf_dir))
+
+
+def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reads = _table(spark, sf_dir, "read_in_seq")
+    return wrong_answers(reads, "read_no", sequence_key(F.col("seq")), _history(spark, sf_dir))
+
+
+_P5 = """
+WITH reads AS (
+  SELECT read_no, left(regexp_replace(seq, '[^ATGC]', 'X', 'g'), 100) AS k FROM read_in_seq WHERE seq <> ''
+), old AS (SELECT DISTINCT left(regexp_replace(seq, '[^ATGC]', 'X', 'g'), 100) AS k FROM results WHERE seq <> '')
+SELECT read_no FROM reads
+WHERE k IN (SELECT k FROM old)
+UNION ALL
+SELECT read_no FROM (SELECT read_no, k, min(read_no) OVER (PARTITION BY k) AS first_no FROM reads)
+WHERE read_no > first_no AND k NOT IN (SELECT k FROM old)
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -62,6 +93,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_ranked": p1_ranked,
         "p3_found": p3_found,
         "p3_counts": p3_counts,
+        "p5_found": p5_found,
+        "p5_rates": p5_rates,
     }
 
 
@@ -71,4 +104,5 @@ def oracle_sql() -> dict[str, str]:
         "p1_ranked": _P1,
         "p3_found": f"SELECT mseq FROM ({_P3})",
         "p3_counts": _P3,
+        "p5_found": _P5,
     }
