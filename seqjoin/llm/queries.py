@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from seqjoin.llm.heavy import frequent_values
 from seqjoin.llm.seen import SeenStore, seen_reads, sequence_key, wrong_answers
+from seqjoin.llm.spans import shared_spans
 from seqjoin.llm.topn import top_n_per_group
 
 
@@ -56,6 +57,40 @@ SELECT mseq, count(*) AS n_rows FROM rec WHERE mseq <> ''
 GROUP BY mseq HAVING count(*) >= 0.0025 * (SELECT count(*) FROM rec)
 """
 
+# 4: spans shared between records
+
+
+def _rec_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(*(F.coalesce(c, F.lit("")) for c in ("left_tail", "mseq", "right_tail")))
+    return _table(spark, sf_dir, "rec").select("rec_id", text.alias("text"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_spans(_rec_texts(spark, sf_dir), "rec_id", "text")
+
+
+def p4_removable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_spans(_rec_texts(spark, sf_dir), "rec_id", "text", later=True)
+
+
+_PIECES = """
+WITH texts AS (SELECT rec_id, coalesce(left_tail, '') || coalesce(mseq, '') || coalesce(right_tail, '') AS t FROM rec),
+pieces AS (
+  SELECT rec_id, p, substr(t, CAST(p AS INTEGER) + 1, 50) AS piece
+  FROM (SELECT rec_id, t, unnest(range(length(t) - 49)) AS p FROM texts WHERE length(t) >= 50)
+),
+shared AS (
+  SELECT rec_id, p AS b, p + 50 AS e
+  FROM (SELECT *, min(rec_id) OVER w AS low, max(rec_id) OVER w AS high FROM pieces WHERE NOT contains(piece, 'X') WINDOW w AS (PARTITION BY piece))
+  WHERE {which}
+),
+marked AS (
+  SELECT *, CASE WHEN b <= max(e) OVER (PARTITION BY rec_id ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM shared
+),
+islands AS (SELECT *, sum(fresh) OVER (PARTITION BY rec_id ORDER BY b ROWS UNBOUNDED PRECEDING) AS island FROM marked)
+SELECT rec_id, CAST(min(b) AS INTEGER) AS span_start, CAST(max(e) - min(b) AS INTEGER) AS span_len FROM islands GROUP BY rec_id, island
+"""
+
 # 5: keys seen before
 
 
@@ -93,6 +128,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_ranked": p1_ranked,
         "p3_found": p3_found,
         "p3_counts": p3_counts,
+        "p4_found": p4_found,
+        "p4_removable": p4_removable,
         "p5_found": p5_found,
         "p5_rates": p5_rates,
     }
@@ -104,5 +141,7 @@ def oracle_sql() -> dict[str, str]:
         "p1_ranked": _P1,
         "p3_found": f"SELECT mseq FROM ({_P3})",
         "p3_counts": _P3,
+        "p4_found": _PIECES.format(which="low <> high"),
+        "p4_removable": _PIECES.format(which="rec_id > low"),
         "p5_found": _P5,
     }
