@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqjoin.llm.heavy import frequent_values
+from seqjoin.llm.mixture import Goal, mix, share_report
+from seqjoin.llm.packing import fill_report, pack
 from seqjoin.llm.seen import SeenStore, seen_reads, sequence_key, wrong_answers
 from seqjoin.llm.spans import shared_spans
+from seqjoin.llm.tokens import count_tokens
 from seqjoin.llm.topn import top_n_per_group
+from seqjoin.scratch import materialize
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -121,6 +125,44 @@ SELECT read_no FROM (SELECT read_no, k, min(read_no) OVER (PARTITION BY k) AS fi
 WHERE read_no > first_no AND k NOT IN (SELECT k FROM old)
 """
 
+# 7: containers
+
+
+def _capacities(spark: SparkSession, sf_dir: str) -> list[tuple[str, int]]:
+    rows = _table(spark, sf_dir, "pack_sizes").limit(1001).collect()
+    if len(rows) > 1000:
+        raise ValueError("pack_sizes is meant to be a short list")
+    return sorted((r.pack_kind, r.capacity_tokens) for r in rows)
+
+
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = count_tokens(_table(spark, sf_dir, "documents"), "text", ["doc_id"])
+    return pack(materialize(sized, "sizes"), "doc_id", "n_tokens", _capacities(spark, sf_dir))
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_report(p7_packed(spark, sf_dir), _capacities(spark, sf_dir))
+
+
+# 8: mixtures
+
+
+def _goals(spark: SparkSession, sf_dir: str) -> list[Goal]:
+    rows = _table(spark, sf_dir, "mix_goals").limit(1001).collect()
+    if len(rows) > 1000:
+        raise ValueError("mix_goals is meant to be a short list")
+    return [Goal(r.source_name, r.goal_share, r.max_repeats) for r in sorted(rows, key=lambda r: r.source_name)]
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").where(F.col("source").isNotNull())
+    sized = count_tokens(docs, "text", ["doc_id", "source"])
+    return mix(sized, "doc_id", F.array(F.lower(F.trim("source"))), "n_tokens", _goals(spark, sf_dir)).withColumnRenamed("size", "n_tokens")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return share_report(p8_mixture(spark, sf_dir).withColumnRenamed("n_tokens", "size"), _goals(spark, sf_dir))
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -132,6 +174,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_removable": p4_removable,
         "p5_found": p5_found,
         "p5_rates": p5_rates,
+        "p7_packed": p7_packed,
+        "p7_fill": p7_fill,
+        "p8_mixture": p8_mixture,
+        "p8_shares": p8_shares,
     }
 
 
