@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from seqjoin.llm.heavy import frequent_values
 from seqjoin.llm.mixture import Goal, mix, share_report
 from seqjoin.llm.packing import fill_report, pack
+from seqjoin.llm.residue import mine_templates, residue, scan_documents
 from seqjoin.llm.seen import SeenStore, seen_reads, sequence_key, wrong_answers
 from seqjoin.llm.spans import shared_spans
 from seqjoin.llm.tokens import count_tokens
@@ -163,6 +164,26 @@ def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return share_report(p8_mixture(spark, sf_dir).withColumnRenamed("n_tokens", "size"), _goals(spark, sf_dir))
 
+# 9: template residue
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue(_table(spark, sf_dir, "documents")).select("doc_id").distinct()
+
+
+def p9_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue(_table(spark, sf_dir, "documents"))
+
+
+def p9_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = scan_documents(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return mine_templates(scanned).groupBy("template", "verdict").agg(F.count(F.lit(1)).alias("n_messages"), F.sum("n_lines").alias("n_lines"))
+
+
+def p9_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.join(residue(docs).select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id")
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -178,6 +199,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_fill": p7_fill,
         "p8_mixture": p8_mixture,
         "p8_shares": p8_shares,
+        "p9_found": p9_found,
+        "p9_kinds": p9_kinds,
+        "p9_templates": p9_templates,
+        "p9_kept": p9_kept,
     }
 
 
