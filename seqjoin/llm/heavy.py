@@ -134,23 +134,23 @@ def frequent_values(df: DataFrame, column: str, share: float, *, slack: float =
     rule; an empty table gives an empty result.
     """
     spark = df.sparkSession
-    schema = f"{column} string, estimate long, n_rows long"
+    schema = f"`{column}` string, estimate long, n_rows long"
     total = df.count()
     if not total:
         return spark.createDataFrame([], schema)
-    values = df.select(F.col(column)).where(F.col(column) != "")
-    prefixes, estimates = build_sketch(values, column, depth, width_bits).heavy(share * total * slack)
+    values = df.select(F.col(column).cast("string").alias("v")).where("v <> ''")
+    prefixes, estimates = build_sketch(values, "v", depth, width_bits).heavy(share * total * slack)
     if len(prefixes) > 4 / (share * slack):
         raise RuntimeError("the sketch is too narrow for this share; raise width_bits")
     if not len(prefixes):
         return spark.createDataFrame([], schema)
     shift = 64 - LEVELS[-1]
-    wanted = spark.createDataFrame([(int(p), int(e)) for p, e in zip(prefixes, estimates)], "__prefix long, estimate long")
+    wanted = spark.createDataFrame([(int(p), int(e)) for p, e in zip(prefixes, estimates)], "prefix long, estimate long")
     return (
-        values.withColumn("__prefix", F.shiftrightunsigned(F.xxhash64(column), shift))
-        .join(F.broadcast(wanted), "__prefix")
-        .groupBy(column)
+        values.withColumn("prefix", F.shiftrightunsigned(F.xxhash64("v"), shift))
+        .join(F.broadcast(wanted), "prefix")  # at most 4 / (share * slack) rows
+        .groupBy("v")
         .agg(F.first("estimate").alias("estimate"), F.count(F.lit(1)).alias("n_rows"))
         .where(F.col("n_rows") >= F.lit(float(share)) * F.lit(total))
-        .select(column, "estimate", "n_rows")
+        .select(F.col("v").alias(column), "estimate", "n_rows")
     )

@@ -90,7 +90,8 @@ class SeenStore:
 
 def _first_of_keys(reads: DataFrame, order: str, key: Column) -> DataFrame:
     """(h, key, first): each key's smallest ``order`` among the reads, hot keys combined on the map side."""
-    return reads.select(key.alias("key"), F.col(order)).where("key IS NOT NULL").groupBy(F.xxhash64("key").alias("h"), "key").agg(F.min(order).alias("first"))
+    keyed = reads.select(key.alias("key"), F.col(order).alias("no")).where("key IS NOT NULL")
+    return keyed.groupBy(F.xxhash64("key").alias("h"), "key").agg(F.min("no").alias("first"))
 
 
 def seen_reads(reads: DataFrame, order: str, key: Column, store: SeenStore) -> DataFrame:
@@ -101,8 +102,8 @@ def seen_reads(reads: DataFrame, order: str, key: Column, store: SeenStore) -> D
     ones are taken out by their number and no row travels by its key, however hot that is.
     Repeated rows with another number are seen; an empty store or table is fine.
     """
-    new = store.unseen(_first_of_keys(reads, order, key)).select(F.col("first").alias(order))
-    return reads.where(key.isNotNull()).select(order).join(new, order, "left_anti")
+    new = store.unseen(_first_of_keys(reads, order, key)).select("first")
+    return reads.where(key.isNotNull()).select(order).join(new, F.col(order) == F.col("first"), "left_anti")
 
 
 def wrong_answers(reads: DataFrame, order: str, key: Column, store: SeenStore, hash_bits: int = 32) -> DataFrame:

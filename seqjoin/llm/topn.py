@@ -26,16 +26,16 @@ def _bin(score: Column, edges: Sequence[float]) -> Column:
 
 
 def score_thresholds(rows: DataFrame, group: str, score: str, n: int, min_rows: int, edges: Sequence[float] = EDGES) -> DataFrame:
-    """(group, __top): per group of at least ``min_rows`` rows the bin that is sure to hold the N-th best.
+    """(g, top): per group of at least ``min_rows`` rows the bin that is sure to hold the N-th best.
 
     Groups in which no row lies above that bin are left out: they need no filter.
     """
-    b = _bin(F.col(score), edges)
-    counts = [F.count_if(b <= i).alias(f"__c{i}") for i in range(len(edges) - 1)]
-    hist = rows.groupBy(group).agg(F.count(F.lit(1)).alias("__all"), *counts)
-    top = F.coalesce(*[F.when(F.col(f"__c{i}") >= n, F.lit(i)) for i in range(len(edges) - 1)], F.lit(len(edges) - 1))
-    kept = F.coalesce(*[F.when(F.col(f"__c{i}") >= n, F.col(f"__c{i}")) for i in range(len(edges) - 1)], F.col("__all"))
-    return hist.where((F.col("__all") >= min_rows) & (kept < F.col("__all"))).select(group, top.alias("__top"))
+    b, last = _bin(F.col("s"), edges), len(edges) - 1
+    counts = [F.count_if(b <= i).alias(f"c{i}") for i in range(last)]
+    hist = rows.select(F.col(group).alias("g"), F.col(score).alias("s")).groupBy("g").agg(F.count(F.lit(1)).alias("n"), *counts)
+    top = F.coalesce(*[F.when(F.col(f"c{i}") >= n, F.lit(i)) for i in range(last)], F.lit(last))
+    kept = F.coalesce(*[F.when(F.col(f"c{i}") >= n, F.col(f"c{i}")) for i in range(last)], F.col("n"))
+    return hist.where((F.col("n") >= min_rows) & (kept < F.col("n"))).select("g", top.alias("top"))
 
 
 def top_n_per_group(
@@ -54,20 +54,30 @@ def top_n_per_group(
 
     All columns are kept and ``rank`` (1..n) is added; ``ties`` has to end in a unique column
     for a result that is the same in every run.  Rows whose group or score is null take no
-    part.  Groups of fewer than ``n`` rows are kept whole; repeated rows compete singly; an
-    empty table gives an empty result.  A column named ``rank`` in the input is replaced.
+    part; null tie keys come first.  Groups of fewer than ``n`` rows are kept whole; repeated
+    rows compete singly; an empty table gives an empty result.  A column named ``rank`` in
+    the input is replaced; other names cannot clash.
     """
     rows = df.drop("rank").where(F.col(group).isNotNull() & F.col(score).isNotNull())
-    limits = score_thresholds(rows, group, score, n, min_rows, edges)
+    g, top, salt = (_unused(df, x) for x in ("__g", "__top", "__salt"))
+    below = F.col(top).isNull() | (_bin(F.col(score), edges) <= F.col(top))
+    limits = score_thresholds(rows, group, score, n, min_rows, edges).toDF(g, top)
     found = limits.limit(broadcast_groups + 1).collect()
     if 0 < len(found) <= broadcast_groups:
         small = df.sparkSession.createDataFrame(found, limits.schema)
-        rows = rows.join(F.broadcast(small), group, "left")
-        rows = rows.where(F.col("__top").isNull() | (_bin(F.col(score), edges) <= F.col("__top"))).drop("__top")
+        rows = rows.join(F.broadcast(small), F.col(group) == F.col(g), "left").where(below).drop(g, top)
     elif found:
-        limits = limits.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        rows = rows.withColumn("__salt", F.pmod(F.xxhash64(*ties, F.spark_partition_id()), F.lit(salts)).cast("int"))
-        rows = rows.join(limits, [group, "__salt"], "left")
-        rows = rows.where(F.col("__top").isNull() | (_bin(F.col(score), edges) <= F.col("__top"))).drop("__top", "__salt")
+        limits = limits.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumnRenamed(salt, salt + "_")
+        rows = rows.withColumn(salt, F.pmod(F.xxhash64(*ties), F.lit(salts)).cast("int"))
+        on = (F.col(group) == F.col(g)) & (F.col(salt) == F.col(salt + "_"))
+        rows = rows.join(limits, on, "left").where(below).drop(g, top, salt, salt + "_")
     order = Window.partitionBy(group).orderBy(F.col(score).asc(), *(F.col(c).asc() for c in ties))
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+
+
+def _unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while any(c.startswith(name) for c in taken):
+        name += "_"
+    return name
