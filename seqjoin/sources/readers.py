@@ -66,7 +66,7 @@ def read_framed_snappy(spark: SparkSession, path: str) -> DataFrame:
 
 def framed_snappy_blocks(data: bytes | pa.Buffer) -> Iterator[bytes]:
     """The plain blocks of a framed Snappy stream; checksums are skipped."""
-    view, at, codec = memoryview(data), 0, pa.Codec("snappy")
+    view, at, codec = memoryview(data).cast("B"), 0, pa.Codec("snappy")
     while at + 4 <= len(view):
         kind, size = view[at], int.from_bytes(view[at + 1 : at + 4], "little")
         body = view[at + 4 : at + 4 + size]
