@@ -30,6 +30,17 @@ def seed_join(reads: DataFrame, targets: DataFrame) -> DataFrame:
     return pairs.select("win", "key", "seq", "num", (F.col("p") - F.col("q1")).alias("pos"))
 
 
+def candidates(reads: DataFrame, targets: DataFrame, broadcast_windows: int = 300_000) -> DataFrame:
+    """The seed join by the cheapest way for its sizes.
+
+    Few read windows (a checked bound) are broadcast as they are, and target windows are
+    never shuffled; of more, the keys alone may screen the target windows first.
+    """
+    if reads.limit(broadcast_windows + 1).count() <= broadcast_windows:
+        return seed_join(F.broadcast(reads), targets)
+    return seed_join(reads, screen(targets, reads))
+
+
 def fitting(candidates: DataFrame, targets: DataFrame, tail: int = 0) -> DataFrame:
     """Candidates with the target's stretch ``sub``, where the whole read fits into the target.
 
@@ -47,7 +58,8 @@ def within_budget(pairs: DataFrame, p_match: float) -> DataFrame:
     """Pairs with ``nmiss``, where it is within the budget of the read's length."""
     if p_match == 1:
         return pairs.where(F.col("seq") == F.col("sub")).withColumn("nmiss", F.lit(0))
-    return pairs.withColumn("nmiss", hamming(F.col("seq"), F.col("sub"))).where(F.col("nmiss") <= mismatch_budget(F.length("seq"), p_match))
+    counted = pairs.withColumn("nmiss", hamming(F.col("seq"), F.col("sub")))
+    return counted.where(F.col("nmiss") <= mismatch_budget(F.length("seq"), p_match))
 
 
 def seeding_windows(hits: DataFrame, cfg: Config) -> DataFrame:
@@ -92,7 +104,7 @@ def confirm(reads: DataFrame, windows: DataFrame, targets: DataFrame, cfg: Confi
     is verified once.  The cap can only take hold if there are more matches than MaxMatches
     in all; only then are the matches spread over their windows again.
     """
-    pairs = seed_join(reads, windows).select("seq", "num", "pos").distinct()
+    pairs = candidates(reads, windows).select("seq", "num", "pos").distinct()
     tail = cfg.MaxReadLength if cfg.MatchMode == "first" else 0
     hits = materialize(within_budget(fitting(pairs, targets, tail), cfg.PMatch), "hits")
     if hits.count() > cfg.MaxMatches:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from seqjoin.config import Config
-from seqjoin.operators.match import best_matches, confirm, screen
+from seqjoin.operators.match import best_matches, confirm
 from seqjoin.operators.reads import prepare_reads, read_windows, unique_reads
 from seqjoin.operators.report import non_matches, read_stats, results, target_stats
 from seqjoin.operators.targets import prepare_targets, target_windows
@@ -39,7 +39,7 @@ def match(reads: DataFrame, targets: DataFrame, cfg: Config) -> Matched:
     """Match raw reads (name, seq) with prepared targets (num, name, seq, len)."""
     unique = materialize(unique_reads(prepare_reads(reads, cfg)), "reads")
     windows = materialize(read_windows(unique, cfg), "windows")
-    hits = confirm(windows, screen(target_windows(targets, cfg.WindowWidth), windows), targets, cfg)
+    hits = confirm(windows, target_windows(targets, cfg.WindowWidth), targets, cfg)
     best = best_matches(materialize(hits, "matches"), cfg.MMTol)
     return Matched(unique, results(best, targets, unique))
 

@@ -23,6 +23,9 @@ def test_dinucleotides_and_hamming_by_brute_force(spark):
     texts = ["", "A", "AA", None] + ["".join(r.choice("ATGCN") for _ in range(r.randrange(40))) for _ in range(60)]
     plain = [None if t is None else t.replace("N", "X") for t in texts]
     assert column(spark, texts, dinucleotides) == [None if t is None else len({t[i : i + 2] for i in range(len(t) - 1)}) for t in plain]
+    odd = [(None, "A"), ("A", None), ("AB", "A"), ("", ""), ("é", "e"), ("😀A", "😀B")]
+    got = spark.createDataFrame(odd, "a string, b string").coalesce(1).select(hamming(F.col("a"), F.col("b"))).collect()
+    assert [r[0] for r in got] == [None, None, None, 0, 1, 1]
     pairs = [(t, "".join(r.choice("ATGCX") if r.random() < 0.2 else c for c in t)) for t in plain if t]
     got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", hamming(F.col("a"), F.col("b")).alias("d")).collect()
     assert all(x.d == sum(p != q for p, q in zip(x.a, x.b)) for x in got)
