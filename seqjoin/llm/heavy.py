@@ -11,7 +11,7 @@ not on rows or distinct values.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -86,41 +86,57 @@ class PrefixSketch:
         return found, self.estimate(found, len(self.levels) - 1)
 
 
-def build_sketch(df: DataFrame, column: str, depth: int = 5, width_bits: int = 13) -> PrefixSketch:
-    """The sketch of all non-null values of ``column``; one pass, merged per counter row in Spark."""
+def sketch_hashes(hashes: DataFrame, depth: int, width_bits: int, unpack: Callable[[Iterable[pa.RecordBatch]], Iterator[np.ndarray]]) -> tuple[PrefixSketch, int]:
+    """The sketch of all hashes that ``unpack`` draws from the rows of ``hashes``, and their number.
+
+    One pass.  Every task sends its counter rows compressed; they are added up in groups of
+    some two hundred tasks first, so that no task has to add up those of all others.
+    """
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, any_row = PrefixSketch(depth, width_bits), False
-        for batch in batches:
-            if batch.num_rows:
-                any_row = True
-                sketch.add(batch.column(0).to_numpy().view(np.uint64))
-        if any_row:
-            part, blob = zip(*((p, v.tobytes()) for p, v in sketch.parts()))
-            yield pa.record_batch([pa.array(part, pa.int32()), pa.array(blob, pa.binary())], ["part", "counts"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch, n = PrefixSketch(depth, width_bits), 0
+        for some in unpack(batches):
+            sketch.add(some)
+            n += len(some)
+        if n:
+            yield packed([(-1, np.array([n], np.int64)), *sketch.parts()])
+
+    def packed(rows: Iterable[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        codec, rows = pa.Codec("zstd"), list(rows)
+        blobs = [codec.compress(v.tobytes(), asbytes=True) for _, v in rows]
+        return pa.record_batch([pa.array([p for p, _ in rows], pa.int32()), pa.array([len(v) for _, v in rows], pa.int32()), pa.array(blobs, pa.binary())], ["part", "n", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
+        codec = pa.Codec("zstd")
         for batch in batches:
-            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                values = np.frombuffer(blob.as_buffer(), np.int64)
-                sums[part] = sums[part] + values if part in sums else values.copy()
+            for part, n, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                values = np.frombuffer(codec.decompress(blob.as_buffer(), 8 * n, asbytes=True), np.int64)
+                sums[part] = sums[part] + values if part in sums else values
         if sums:
-            yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["part", "counts"])
-
-    schema = "part int, counts binary"
-    parts = 1 + (len(LEVELS) - 1) * depth
-    merged = (
-        df.where(F.col(column).isNotNull())
-        .select(F.xxhash64(column).alias("h"))
-        .mapInArrow(fill, schema)
-        .repartition(min(parts, 8), "part")
-        .mapInArrow(merge, schema)
-    )
-    sketch = PrefixSketch(depth, width_bits)
+            yield packed(sums.items())
+
+    schema = "part int, n int, counts binary"
+    tables = hashes.mapInArrow(fill, schema)
+    tasks = hashes.rdd.getNumPartitions()
+    if tasks > 256:
+        group = F.floor(F.spark_partition_id() / 200).alias("g")
+        tables = tables.select("*", group).repartition(-(-tasks // 50), "part", "g").drop("g").mapInArrow(add, schema)
+    sketch, total, codec = PrefixSketch(depth, width_bits), 0, pa.Codec("zstd")
+    merged = tables.repartition(min(8, 2 + (len(LEVELS) - 1) * depth), "part").mapInArrow(add, schema)
     for row in merged.collect():  # depth x levels rows of 2**width_bits counters, whatever the input
-        sketch.put(row.part, np.frombuffer(row.counts, np.int64))
-    return sketch
+        values = np.frombuffer(codec.decompress(row.counts, 8 * row.n, asbytes=True), np.int64)
+        if row.part < 0:
+            total = int(values[0])
+        else:
+            sketch.put(row.part, values)
+    return sketch, total
+
+
+def build_sketch(df: DataFrame, column: str, depth: int = 5, width_bits: int = 13) -> PrefixSketch:
+    """The sketch of all non-null values of ``column``."""
+    hashes = df.where(F.col(column).isNotNull()).select(F.xxhash64(column).alias("h"))
+    return sketch_hashes(hashes, depth, width_bits, lambda batches: (b.column(0).to_numpy().view(np.uint64) for b in batches if b.num_rows))[0]
 
 
 def frequent_values(df: DataFrame, column: str, share: float, *, slack: float = 0.5, depth: int = 5, width_bits: int = 13) -> DataFrame:

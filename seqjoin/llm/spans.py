@@ -27,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqjoin.llm.heavy import LEVELS, PrefixSketch
+from seqjoin.llm.heavy import LEVELS, sketch_hashes
 from seqjoin.scratch import materialize
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _CODE = np.random.default_rng(50).integers(1, 2**64, 256, np.uint64)
 MASK = ord("X")
 _ZSTD = "zstd"
+#: About so many units are matched in one task, some 150 bytes each.
+UNITS_IN_TASK = 1_000_000
 
 
 def window_hashes(data: np.ndarray, length: int) -> np.ndarray:
@@ -225,8 +227,9 @@ def shared_spans(df: DataFrame, rec_id: str, text: str, *, min_len: int = 50, an
     records = df.select(df[rec_id].cast("long").alias("rec_id"), F.concat(df[text], F.lit("X")).alias("text")).where(
         F.col("rec_id").isNotNull() & (F.length("text") > min_len)
     )
-    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hot = _hot_anchors(records, min_len, anchor, 1 / max(1024, 2 * min(n_parts, 1 << 14)))
+    share = min(1 / 1024, max(UNITS_IN_TASK / (6 * max(1, df.count())), 1 / (1 << 17)))
+    hot, units = _hot_anchors(records, min_len, anchor, share)
+    n_parts = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-units // UNITS_IN_TASK))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, data, offsets in _blocks(batches):
@@ -264,44 +267,14 @@ def shared_spans(df: DataFrame, rec_id: str, text: str, *, min_len: int = 50, an
     return _islands(spans, rec_id)
 
 
-def _hot_anchors(records: DataFrame, min_len: int, anchor: int, share: float) -> np.ndarray:
-    """Digest prefixes that may hold ``share`` of all units; at most 4 / share of them."""
+def _hot_anchors(records: DataFrame, min_len: int, anchor: int, share: float) -> tuple[np.ndarray, int]:
+    """Digest prefixes that may hold ``share`` of all units, at most 4 / share of them; and how many units there are."""
     width_bits = max(13, int(np.ceil(np.log2(4 / share))))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, n = PrefixSketch(3, width_bits), 0
-        for _, data, _ in _blocks(batches):
-            digest = cut_units(data, min_len, anchor)[2]
-            n += len(digest)
-            sketch.add(digest)
-        if n:
-            rows = [(-1, np.array([n], np.int64)), *sketch.parts()]
-            codec = pa.Codec(_ZSTD)
-            yield pa.record_batch([pa.array([p for p, _ in rows], pa.int32()), pa.array([codec.compress(v.tobytes(), asbytes=True) for _, v in rows], pa.binary())], ["part", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        codec = pa.Codec(_ZSTD)
-        size = {-1: 1, 0: 1 << LEVELS[0]}
-        for batch in batches:
-            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                values = np.frombuffer(codec.decompress(blob.as_buffer(), 8 * size.get(part, 1 << width_bits), asbytes=True), np.int64)
-                sums[part] = sums[part] + values if part in sums else values
-        if sums:
-            yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["part", "counts"])
-
-    schema = "part int, counts binary"
-    sketch, total = PrefixSketch(3, width_bits), 0
-    for row in records.mapInArrow(count, schema).repartition(4, "part").mapInArrow(add, schema).collect():
-        values = np.frombuffer(row.counts, np.int64)
-        if row.part < 0:
-            total = int(values[0])
-        else:
-            sketch.put(row.part, values)
+    sketch, total = sketch_hashes(records, 3, width_bits, lambda batches: (cut_units(data, min_len, anchor)[2] for _, data, _ in _blocks(batches)))
     if not total:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), 0
     found, estimates = sketch.heavy(max(2.0, share * total / 2))
-    return found[np.argsort(-estimates)][: int(4 / share)]
+    return found[np.argsort(-estimates)][: int(4 / share)], total
 
 
 def _hot_spans(records: DataFrame, hot: np.ndarray, min_len: int, anchor: int, later: bool) -> DataFrame:

@@ -34,3 +34,8 @@ def test_ties_and_empty(spark):
     assert sorted((x["value"], x["n_rows"]) for x in frequent_values(df, "value", 0.5).collect()) == [("a", 50), ("b", 50)]
     for rows in ([], [(None,)] * 3, [("",)] * 3):
         assert frequent_values(spark.createDataFrame(rows, "value string"), "value", 0.1).count() == 0
+
+
+def test_sketches_of_many_tasks_are_added_in_groups(spark):
+    df = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN 'hot' ELSE CAST(id AS STRING) END AS v").repartition(300)
+    assert [(r.v, r.n_rows) for r in frequent_values(df, "v", 0.1).collect()] == [("hot", 1000)]
