@@ -117,6 +117,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "non_matches": lambda s, d: matched(s, d).non_matches,
         "non_match_fastq": lambda s, d: writers.non_match_lines(matched(s, d).non_matches),
         "result_lines": lambda s, d: writers.result_lines(matched(s, d).results),
+        "target_id_lines": lambda s, d: writers.target_lines(targets(s, d, True))[1],
+        "read_stat_lines": lambda s, d: writers.read_stat_lines(matched(s, d).read_stats),
+        "target_stat_lines": lambda s, d: writers.target_stat_lines(matched(s, d).target_stats),
         "read_stats": lambda s, d: matched(s, d).read_stats,
         "target_stats": lambda s, d: matched(s, d).target_stats,
         "bloom_params": lambda s, d: s.createDataFrame([(n, p, *bloom_parameters(n, p)) for n, p in _BLOOMS], "items long, rate double, bits long, hashes long"),
@@ -216,6 +219,9 @@ def oracle_sql() -> dict[str, str]:
         "non_matches": _sql(_MISSING),
         "non_match_fastq": _sql(f"SELECT concat(names, '#', count, chr(10), seq, chr(10), '+', chr(10), repeat('!', length(seq))) AS value FROM ({_MISSING})"),
         "result_lines": _sql("SELECT concat_ws(chr(9), seq, sub, pos, nmiss, replace(target, chr(9), ' '), target_len, copies, replace(names, chr(9), ' ')) AS value FROM named"),
+        "target_id_lines": _sql("SELECT concat(lpad(CAST(num AS VARCHAR), 11, '0'), chr(9), name, chr(9), len) AS value FROM both_strands"),
+        "read_stat_lines": _sql("SELECT concat(replace(names, chr(9), ' '), chr(9), string_agg(DISTINCT target, ';' ORDER BY target), ';') AS value FROM named GROUP BY seq, names"),
+        "target_stat_lines": _sql("SELECT concat(target, chr(9), count(*), chr(9)) AS value FROM named GROUP BY target"),
         "read_stats": _sql("SELECT seq, names, string_agg(DISTINCT target, ';' ORDER BY target) AS targets FROM named GROUP BY seq, names"),
         "target_stats": _sql("SELECT target, count(*) AS n FROM named GROUP BY target"),
         "bloom_params": """
