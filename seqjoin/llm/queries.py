@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from seqjoin.llm.heavy import frequent_values
 from seqjoin.llm.mixture import Goal, mix, share_report
 from seqjoin.llm.packing import fill_report, pack
-from seqjoin.llm.residue import mine_templates, residue, scan_documents
+from seqjoin.llm.residue import classified_templates, residue, scan_documents
 from seqjoin.llm.seen import SeenStore, seen_reads, sequence_key, wrong_answers
 from seqjoin.llm.spans import shared_spans
+from seqjoin.llm.templates import mine_templates
 from seqjoin.llm.tokens import count_tokens
 from seqjoin.llm.topn import top_n_per_group
 from seqjoin.scratch import materialize
@@ -177,7 +178,8 @@ def p9_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = scan_documents(_table(spark, sf_dir, "documents"), "doc_id", "text")
-    return mine_templates(scanned).groupBy("template", "verdict").agg(F.count(F.lit(1)).alias("n_messages"), F.sum("n_lines").alias("n_lines"))
+    mined = mine_templates(scanned.where("message IS NOT NULL").select("leaf", "message"))
+    return classified_templates(mined).select("template", "verdict", "n_messages", F.col("n").alias("n_documents"))
 
 
 def p9_kept(spark: SparkSession, sf_dir: str) -> DataFrame:

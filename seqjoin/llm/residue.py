@@ -2,13 +2,14 @@
 
 1. Every document is split into cells; code cells, tracebacks, quotations, inline code and
    formulas are set aside.  Unfilled slots and filler are found right there, in the text of
-   the document itself.
-2. The remaining lines become messages: lower case, numbers and identifiers masked.  Equal
-   messages are counted over the whole corpus.
-3. The distinct messages are mined for templates with a prefix tree of fixed depth (number
-   of words, then the first words); in a leaf, messages of one verdict that agree in most
-   words form one template.  Each template is classified once, and its verdict is carried
-   back to all documents that hold one of its messages.
+   the document itself, however long it is.
+2. The rest becomes messages: sentences in lower case, numbers masked.  All distinct messages
+   of the corpus are mined for templates with a prefix tree of fixed depth
+   (:mod:`seqjoin.llm.templates`), which knows nothing of residue.
+3. Every template is classified once (:mod:`seqjoin.llm.notices`), and its verdict is carried
+   back through its messages to the documents in which one of them stands on its own: as the
+   first sentence of its line, or as half of the line's words.  A sentence further on in a
+   paragraph is part of what that paragraph says.
 """
 
 from __future__ import annotations
@@ -16,16 +17,19 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqjoin.llm.notebook_cells import CODE, OUTPUT, split_cells
+from seqjoin.llm.notices import classify
+from seqjoin.llm.slots import is_filler, without_slots
+from seqjoin.llm.templates import leaf_of, mine_templates
+from seqjoin.operators.spread import spread
 from seqjoin.scratch import materialize
 
-SLOT, FILLER, INSTRUCTION, ERROR, SCRIPTS = "slot", "filler", "instruction", "error_page", "scripts_required"
+SLOT, FILLER = "slot", "filler"
 
 # What is not the document's own statement
 
@@ -38,185 +42,13 @@ _ASIDE = re.compile(
 )
 _ASIDE_START = re.compile("[`$\\\\\"“„«‘']")
 _QUOTE_LINE = re.compile(r"^[ \t]*>(?!>).*$", re.M)
-_LONG_WORD = re.compile(r"\S{200,}")
 _TAG = re.compile(
     r"(?<!<)</?(?:!doctype|html|head|body|title|meta|link|noscript|div|p|h\d|span|center|section|header|footer|nav|main|pre|hr|br|img|a|b|i|em|strong|small|ul|ol|li|table|thead|tbody|tr|td|th|iframe|svg)\b[^<>]*>",
     re.I,
 )
 _SCRIPT_TAG = re.compile(r"<(script|style)\b.*?</\1>", re.S | re.I)
 _HTML = re.compile(r"<(?:!doctype|html|head|body|noscript|div|p|h\d|span|title|center|hr|br)\b[^<>]*>", re.I)
-
-# Slots
-
-_ASK_FIRST = r"(?:please )?(?:insert|enter|your|fill in|type|add|tbd|todo|saisir|insérer|indiquer|votre|vos|hier|ihr|ihre|insertar|introducir|escribir|indicar|rellenar|poner|su|sus|aquí)\b"
-_ASK_LAST = r"(?:goes here|here|to be (?:added|filled in|done)|tbd|à compléter|à remplir|ici|eintragen|ergänzen|einfügen|einsetzen|aquí|por completar|a completar|pendiente)"
-_SLOTS = re.compile(
-    r"\{\{[ \t]*[^\W\d][^{}\n]{0,80}\}\}"
-    r"|\{%-?[ \t]*\w[^%{}\n]{0,80}%\}"
-    r"|<%[=-]?[ \t]*\w[^%<>\n]{0,80}%>"
-    r"|\$\{[^\W\d][^{}\n]{0,60}\}"
-    r"|(?<![\w%])%[A-Z][A-Z0-9_]{2,60}%(?!\w)"
-    r"|(?<![\w$])\$[A-Z][A-Z0-9_]{2,60}\$(?!\w)"
-    r"|##[A-Z][A-Z0-9_]{1,60}##|@@[A-Z][A-Z0-9_]{1,60}@@|(?<!\w)__[A-Z][A-Z0-9_]{1,60}__(?!\w)"
-    r"|<<[ \t]*[^\W\d][^<>\n]{1,60}>>"
-    r"|\[(?!(?:OK|INFO|WARN|WARNING|ERROR|DEBUG|FATAL|TRACE|NOTE|PASS|FAIL|DONE|SKIP|CRITICAL|NULL|NONE|NAN|TRUE|FALSE)\])[^\W\d_a-zà-ÿ](?:[^\W\d_a-zà-ÿ]|[ '’_-]){2,60}\](?!\()"
-    r"|(?<![!\w\]])\[[^\W\d_A-ZÀ-Ý]+(?: [^\W\d_A-ZÀ-Ý]+){1,4}\](?![(\[])|(?m:(?<=: )\[[^\W\d_]{3,40}\][.]?$)"
-    rf"|[\[(<]{{1,2}}[ \t]*(?i:{_ASK_FIRST})(?:[ :,'’_-]+\w+){{0,6}}[ \t]*[\])>]{{1,2}}"
-    rf"|[\[(<]{{1,2}}[ \t]*(?:[^\W\d_]+[ '’_-]+){{1,5}}(?i:{_ASK_LAST})[ \t]*[\])>]{{1,2}}"
-    r"|(?<![\w$\\^_{}])\{[^\W\d_]\w{2,60}\}(?![}\w])"
-    r"|(?<!\w)X{1,2}x{2,}(?: X{1,2}x{2,})*(?!\w)|(?<!\w)X{2}[/.-]X{2}[/.-]\d{0,2}X{2,4}(?!\w)"
-    r"|(?<!\w)(?i:(?:dd|tt|jj)([./-])mm\1(?:yyyy|jjjj|aaaa|yy)|mm([./-])dd\2yyyy|(?:yyyy|jjjj|aaaa)([./-])mm\3(?:dd|tt|jj))(?!\w)"
-)
-_SLOT_START = re.compile(r"[{<%$#@_\[(]|X[xX]|(?i:(?:dd|tt|jj)[./-]mm|mm[./-]dd|(?:yyyy|jjjj|aaaa)[./-]mm)")
-
-# Filler.  Fixed values: words of the classical filler text and of its usual imitations.
-
-_LATIN = frozenset(
-    """lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam
-    quis nostrud exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate velit esse cillum
-    fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim est laborum
-    aqua arbor campus dies fames folia forma hortus labor linea litus lux manus mare mensura mola navis nox numerus opus panis petra
-    portus radix sale semen tempus terra umbra unda velum vento via vinum""".split()
-)
-_STOCK = frozenset(
-    """text texts paragraph paragraphs sample some words word more dummy copy filler placeholder bla blah blabla test tests testing foo bar
-    baz qux abc def xyz blindtext platzhalter fülltext mustertext beispieltext noch mehr ein einige wörter absatz absätze
-    texto textos relleno muestra más párrafo párrafos unas algunas palabras ejemplo prueba faux bidon texte encore plus du de d quelques mots
-    paragraphe paragraphes exemple essai lorem ipsum is this on""".split()
-)
-_WORD = re.compile(r"[^\W\d_]+")
-_KEY_AT = {c: (row, at) for row, keys in enumerate(("qwertyuiop", "asdfghjkl", "zxcvbnm")) for at, c in enumerate(keys)}
-
-
-@lru_cache(1 << 16)
-def _mashed(word: str) -> bool:
-    """Whether neighbouring letters are neighbouring keys, but for the seams of a few runs."""
-    places = [_KEY_AT.get(c) for c in word]
-    if len(word) < 4 or None in places:
-        return False
-    breaks = sum(a[0] != b[0] or abs(a[1] - b[1]) > 2 for a, b in zip(places, places[1:]))
-    return breaks <= (len(word) - 1) // 4
-
-
-def is_filler(text: str, repeats: bool = True) -> bool:
-    """Whether a passage consists of filler: imitation Latin, stock words over and over, or keys struck at random.
-
-    With ``repeats`` also any few words over and over, which outputs may print for good reason.
-    """
-    words = _WORD.findall(text.lower())
-    n = len(words)
-    if n < 3:
-        return False
-    different = len(set(words))
-    stock = sum(w in _STOCK for w in words)
-    if stock == n and different <= max(2, n * 0.7) or n >= 6 and stock >= 0.9 * n and different <= n * 0.6:
-        return True
-    if repeats and n >= 8 and different <= n * 0.2 and "|" not in text:
-        return True
-    if n >= 4 and sum(w in _LATIN for w in words) >= 0.6 * n:
-        return True
-    return n >= 4 and sum(map(_mashed, words)) >= 0.75 * n
-
-
-# Messages
-
-_HTTP = (
-    r"(?:not found|forbidden|gone|unauthorized|bad request|bad gateway|gateway time-?out|request time-?out|internal (?:server )?error|server error|service (?:temporarily )?unavailable|too many requests|method not allowed|payment required|conflict)"
-)
-_ERRORS = re.compile(
-    r"(?:(?:http |server )?(?:error|status|http|fehler|erreur|estado|código|code)(?: code)?:? <code>"
-    rf"|<code>(?: ?[|:–-])? {_HTTP}|{_HTTP}|(?:error|http) <code>(?: ?[|:–-])? {_HTTP}"
-    r"|access (?:is |was )?denied|(?:you do not|you don't) have permission to .*"
-    r"|(?:the |this |sorry, the )?(?:page|file|item|notebook|document)(?: you (?:asked|were looking) for)? (?:could not|cannot|can't|can not) be (?:found|shown|displayed|rendered|loaded)"
-    r"|(?:the |this )?(?:page|file|item|notebook|document) (?:has been|was) (?:moved|deleted|removed).*|(?:the |this )?(?:page|file|item|notebook) (?:is|was) too (?:large|big) to be .*"
-    r"|(?:your |the )session (?:has |is )?(?:ended|expired|timed out)|too many requests|rate limit exceeded"
-    r"|(?:down for|under) maintenance.*|service (?:is )?(?:currently |temporarily )?unavailable|temporarily unavailable"
-    r"|(?:the )?upstream (?:server )?(?:gave no answer|timed out|did not (?:answer|respond)|is not responding).*"
-    r"|(?:we |sorry, we )?(?:cannot|can't|could not|are unable to|unable to) (?:render|show|display|load|open) (?:this|the) .*"
-    r"|(?:oops|sorry|whoops)[,.!]? something .*|something (?:went wrong|broke).*|an (?:unexpected |internal )?error (?:has )?occurred.*"
-    # German, French, Spanish
-    r"|zugriff verweigert|(?:die )?(?:angeforderte|gesuchte) seite .*nicht gefunden.*|seite nicht gefunden|(?:ihre )?sitzung ist abgelaufen|(?:der )?dienst ist .*nicht (?:erreichbar|verfügbar)|zu viele anfragen"
-    r"|das (?:notebook|dokument) kann .*nicht angezeigt werden|(?:wegen )?wartung.*|(?:diese )?datei ist zu groß.*|es ist ein fehler aufgetreten.*|der server (?:hat nicht geantwortet|antwortet nicht).*"
-    r"|accès refusé|(?:la )?page (?:demandée )?(?:est )?introuvable|(?:la )?page demandée n.*|(?:votre )?session a expiré|service (?:temporairement )?indisponible|trop de requêtes|impossible d.(?:afficher|ouvrir|charger) .*|(?:une )?erreur (?:interne|est survenue).*|(?:ce )?fichier est trop (?:grand|volumineux).*|en maintenance.*"
-    r"|acceso denegado|(?:no se (?:encuentra|encontró|ha encontrado) la página.*)|(?:la )?página (?:solicitada )?no .*|(?:su )?sesión ha (?:caducado|expirado)|servicio no disponible|demasiadas (?:solicitudes|peticiones)|no se puede (?:mostrar|abrir|cargar) .*|(?:ha ocurrido )?(?:un )?error (?:interno|inesperado).*|en mantenimiento.*)"
-    r"(?=[.!?:,;]|$)"
-)
-_SCRIPT_WORD = re.compile(r"\b(?:java ?scripts?|js|scripts?|scripting|skripte?n?)\b")
-_SCRIPT_ASK = re.compile(
-    r"\b(?:enabled?|enabling|activate|allow(?:ed)?|turn (?:it |them )?on|turned on|switch(?:ed)? (?:on|off)|turned off|disabled?|blocks|blocked|blocking|requires?|required"
-    r"|activer|activez|désactivés?|autorisés?|autoriser|autorisez|exige|exigent|nécessite|activar|active|habilitar|habilite|habilitado|desactivado|deshabilitado|permitidos?|permita|requiere|necesita"
-    r"|aktivieren|aktivier\w*|deaktiviert|eingeschaltete?n?|einschalten|benötigt|erlauben|erlaubt|ohne|sans|sin)\b"
-)
-_TALKS = re.compile(r"\b(?:we|i|our|wir|nous|nosotros|when|if|because|since|so|wenn|weil|quand|parce|cuando|porque|therefore)\b")
-_PROMPTS = re.compile(
-    r"\(?(?:(?:write|type|put|enter|insert|add|place) (?:your|the|a|some|in) .*\b(?:here|box|cell|below|section|field)"
-    r"|(?:write|insert|enter|add|type|give|state) (?:your|a) (?:own )?\w+(?: \w+)?"
-    r"|(?:replace|delete|remove|overwrite|edit|fill in|change) this (?:paragraph|cell|text|hint|line|section|box|note|sentence|placeholder|template|block)\b.*"
-    r"|(?:describe|explain|summari[sz]e|outline|state|introduce) .*\bin (?:a few|one|two|three|<num>)(?: \w+)? (?:short )?(?:sentences?|lines?|words?|paragraphs?)"
-    r"|(?:sub)?title of your .*|your (?:name|title|subtitle|text|introduction|conclusions?|summary|description|abstract|work|results?|answer)s? (?:goes|go|comes?|will (?:come|go|be|stand)|here).*"
-    r"|(?:votre|vos) \w+ (?:viendra|viendront|ici).*|(?:remplacez|supprimez|effacez|modifiez) (?:ce|cette|cet) .*|(?:décrivez|résumez|expliquez) .*(?:phrases?|lignes?|ici|votre|vos).*|(?:écrivez|saisissez|insérez) .*(?:ici|votre|vos|cellule|cadre).*|(?:sous-)?titre de votre .*"
-    r"|aquí (?:irá|va|irán|van) (?:su|sus) .*|(?:sustituya|reemplace|borre|elimine) (?:este|esta|estas|estos) .*|(?:describa|resuma|explique) .*(?:frases?|líneas?|aquí|su|sus)\b.*|(?:escriba|introduzca|inserte) .*(?:aquí|su|sus|celda|cuadro)\b.*|(?:sub)?título de su .*"
-    r"|hier (?:steht|stehen|kommt|kommen|folgt) (?:später |dann |noch )?ihre? .*|(?:diesen|diese|dieses) (?:absatz|zelle|text|hinweis|abschnitt|feld) .*(?:ersetzen|löschen|entfernen|überschreiben).*|(?:ersetzen|löschen|entfernen) sie (?:diesen|diese|dieses) .*|(?:beschreiben|erklären|fassen) sie .*|(?:schreiben|tragen|fügen) sie .*(?:hier|ihre?|feld|zelle).*|(?:unter)?titel ihrer .*)"
-    r"[.!?)]*$"
-)
-_CODE = re.compile(r"(?<![\w.])[45]\d\d(?![\w.])")
-_DIGITS = re.compile(r"\d+")
-_NUMBER = re.compile(r"\d\w*(?:[.,:]\d+)*")
-_LETTERS = re.compile(r"[^\W\d_]{2}")
-_MARKS = re.compile(r"^[\s⚠*_#•·‣>~=-]+|[\s*_~=]+$")
-#: A line of more words is prose, not a message of its own.
-MESSAGE_WORDS = 40
-
-
-def message_of(line: str) -> str | None:
-    """The line with what varies masked; null if it has no words or is too long for a message."""
-    line = _MARKS.sub("", line)
-    if not _LETTERS.search(line):
-        return None
-    text = line.lower()
-    if _DIGITS.search(text):
-        text = _NUMBER.sub("<num>", _CODE.sub("<code>", text))
-    words = text.split()
-    return " ".join(words) if len(words) <= MESSAGE_WORDS and len(text) <= 600 else None
-
-
-def verdict_of(message: str) -> str | None:
-    """What a message is, or null for an ordinary one."""
-    if _ERRORS.match(message):
-        return ERROR
-    if _SCRIPT_WORD.search(message) and _SCRIPT_ASK.search(message) and len(message.split()) <= 20 and not _TALKS.search(message):
-        return SCRIPTS
-    return INSTRUCTION if _PROMPTS.match(message) else None
-
-
-def _distinct_lines(body: str) -> str:
-    """The lines that differ in more than their numbers, in order; error codes stay apart."""
-    body = _DIGITS.sub("0", _CODE.sub("\x01", body)).replace("\x01", "404")
-    return "\n".join(dict.fromkeys(body.split("\n")))
-
-
-def _statement(kind: str, body: str) -> str:
-    """What a cell says itself: without tracebacks, code, quotations, formulas, tags and encoded data."""
-    answer = body.strip()
-    if answer[:1] == "{" and answer.endswith("}") or '"message"' in answer:
-        body = "\n".join(_answer(x) or x for x in body.split("\n"))
-    if len(body) >= 200:
-        body = _LONG_WORD.sub(" ", body)
-    if kind == OUTPUT:
-        at = body.find("Traceback (most recent call last)")
-        body = _distinct_lines(body if at < 0 else body[:at])
-    if "```" in body:
-        body = _FENCED.sub(" ", body)
-    if "<" in body and _HTML.search(body):
-        body = _TAG.sub("\n", _SCRIPT_TAG.sub("\n", body))
-    if kind != OUTPUT and ">" in body:
-        body = _QUOTE_LINE.sub(" ", body)
-    return _ASIDE.sub(" <aside> ", body) if _ASIDE_START.search(body) else body
-
-
-def has_slot(text: str) -> bool:
-    """Whether a slot of a template stands unfilled in the text."""
-    return any(_SLOTS.match(text, m.start()) for m in _SLOT_START.finditer(text))
+_TRACEBACK = "Traceback (most recent call last)"
 
 
 def _answer(line: str) -> str | None:
@@ -226,7 +58,7 @@ def _answer(line: str) -> str | None:
         return None
     try:
         found = json.loads(line)
-    except ValueError:
+    except (ValueError, RecursionError):
         return None
     if not isinstance(found, dict):
         return None
@@ -237,110 +69,118 @@ def _answer(line: str) -> str | None:
     return "\n".join(says) if says else None
 
 
+def _statement(kind: str, body: str) -> str:
+    """What a cell says itself: without tracebacks, code, quotations, formulas and tags."""
+    answer = body.strip()
+    if answer[:1] == "{" and answer.endswith("}") or '"message"' in answer:
+        body = "\n".join(_answer(x) or x for x in body.split("\n"))
+    if kind == OUTPUT and (at := body.find(_TRACEBACK)) >= 0:
+        body = body[:at]
+    if "```" in body:
+        body = _FENCED.sub(" ", body)
+    if "<" in body and _HTML.search(body):
+        body = _TAG.sub("\n", _SCRIPT_TAG.sub("\n", body))
+    if kind != OUTPUT and ">" in body:
+        body = _QUOTE_LINE.sub(" ", body)
+    return _ASIDE.sub(" <aside> ", body) if _ASIDE_START.search(body) else body
+
+
+# Filler in paragraphs
+
 _BLANK = re.compile(r"\n\s*\n")
 
 
 def _is_filler_block(block: str, repeats: bool) -> bool:
     """Whether a line, or all lines of a paragraph together, are filler; headings and tables aside."""
-    prose = [x for x in block.split("\n") if x and x.lstrip()[:1] not in "#|"]
-    return any(is_filler(x, repeats) for x in prose if len(x) > 12) or len(prose) > 1 and is_filler("\n".join(prose), repeats)
+    prose = [x for x in dict.fromkeys(block.split("\n")) if x and x.lstrip()[:1] not in "#|"]
+    if any(is_filler(x, repeats) for x in prose if len(x) > 12):
+        return True
+    lines = [x for x in block.split("\n") if x and x.lstrip()[:1] not in "#|"]
+    return len(lines) > 1 and is_filler("\n".join(lines), repeats)
+
+
+# Messages
+
+_CODE_NUMBER = re.compile(r"(?<![\w.])[45]\d\d(?![\w.])")
+_NUMBER = re.compile(r"\d\w*(?:[.,:]\d+)*")
+_DIGIT = re.compile(r"\d")
+_LETTERS = re.compile(r"(?<![<\w])[^\W\d_]{2}")
+_MARKS = re.compile(r"^[\s⚠*_#•·‣>~=(-]+|[\s*_~=)]+$")
+_SOFT_WRAP = re.compile(r"(?<=[^\W\d_,])[ \t]*\n[ \t]*(?=[^\W\d_A-ZÀ-Ý])")
+_SENTENCE_END = re.compile(r"(?<=[.!?…])[*_)\]]*\s+")
+
+
+def masked(said: str) -> str:
+    """Lower case, HTTP error numbers as ``<code>``, other numbers as ``<num>``."""
+    text = said.lower()
+    return _NUMBER.sub("<num>", _CODE_NUMBER.sub("<code>", text)) if _DIGIT.search(text) else text
+
+
+def messages_of_line(line: str) -> Iterator[tuple[str, bool]]:
+    """(message, whether it stands on its own) of every sentence of a masked line that has words."""
+    pieces = [" ".join(_MARKS.sub("", x).split()) for x in (_SENTENCE_END.split(line) if _SENTENCE_END.search(line) else [line])]
+    sizes = [x.count(" ") + 1 for x in pieces]
+    total, before = sum(sizes), 0
+    for piece, size in zip(pieces, sizes):
+        if _LETTERS.search(piece):
+            yield piece, before <= 2 or 2 * size >= total  # an interjection may come first
+        before += size
 
 
-def scan_text(text: str | None) -> tuple[str | None, set[str]]:
-    """(slot or filler or null, messages) of one document's own statements."""
+def scan_text(text: str | None) -> tuple[str | None, dict[str, bool]]:
+    """(slot or filler or null, messages and whether they stand on their own) of one document's own statements."""
     own: str | None = None
-    messages: set[str] = set()
+    messages: dict[str, bool] = {}
     for kind, body in split_cells(text):
         if kind == CODE or not body:
             continue
         said = _statement(kind, body)
-        if own is None and has_slot(said):
+        said, slot = without_slots(said)
+        if slot:
             own = SLOT
-        lines = said.split("\n")
         if own is None and any(_is_filler_block(x, kind != OUTPUT) for x in _BLANK.split(said)):
             own = FILLER
-        messages.update(m for m in map(message_of, set(lines)) if m)
+        if kind != OUTPUT:
+            said = _SOFT_WRAP.sub(" ", said)
+        for line in dict.fromkeys(masked(said).split("\n")):
+            if line:
+                for message, alone in messages_of_line(line):
+                    messages[message] = alone or messages.get(message, False)
     return own, messages
 
 
-# Templates
-
-
-def _agreement(a: list[str], b: list[str]) -> float:
-    return sum(x == y for x, y in zip(a, b)) / len(a)
-
-
-def mine_leaf(messages: list[tuple[str, int]], least: float = 0.6) -> Iterator[tuple[str, str, str | None, int]]:
-    """(message, template, verdict, lines) of the messages of one leaf, all of one length."""
-    templates: list[tuple[list[str], str | None]] = []
-    of: list[int] = []
-    for message, _ in messages:
-        words, verdict = message.split(), verdict_of(message)
-        best = max(((_agreement(t, words), i) for i, (t, v) in enumerate(templates) if v == verdict), default=(0.0, -1))
-        if best[0] >= least:
-            merged = [x if x == y else "<*>" for x, y in zip(templates[best[1]][0], words)]
-            templates[best[1]] = (merged, verdict)
-            of.append(best[1])
-        else:
-            templates.append((words, verdict))
-            of.append(len(templates) - 1)
-    for (message, lines), i in zip(messages, of):
-        yield message, " ".join(templates[i][0]), templates[i][1], lines
-
-
-def leaf_of(message: str, depth: int = 3) -> str:
-    """The path of a message in the prefix tree: its length, then its first words; masked words are one branch."""
-    words = message.split()
-    return " ".join([str(len(words)), *("<*>" if w.startswith("<") else w for w in words[:depth])])
-
-
 def scan_documents(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(id, own, leaf, message): a row per message, and one without message per document with an own finding."""
-    schema = f"id {docs.schema[doc_id].dataType.simpleString()}, own string, leaf string, message string"
+    """(id, own, leaf, message, alone): a row per message, and one without message per document with an own finding."""
+    schema = f"id {docs.schema[doc_id].dataType.simpleString()}, own string, leaf string, message string, alone boolean"
+    kinds = (pa.string(), pa.string(), pa.string(), pa.bool_())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, own, leaf, said = [], [], [], []
+            at: list[int] = []
+            rows: list[tuple] = []
             for i, x in enumerate(batch.column(1)):
                 found, messages = scan_text(x.as_py())
                 if found:
-                    at.append(i), own.append(found), leaf.append(None), said.append(None)
-                for m in messages:
-                    at.append(i), own.append(None), leaf.append(leaf_of(m)), said.append(m)
+                    rows.append((found, None, None, None))
+                rows.extend((None, leaf_of(m.split(" ", 3)[:3], m.count(" ") + 1), m, alone) for m, alone in messages.items())
+                at.extend([i] * (len(rows) - len(at)))
+            columns = list(zip(*rows)) or [[]] * 4
             ids = batch.column(0).take(pa.array(at, pa.int64()))
-            yield pa.record_batch([ids, pa.array(own, pa.string()), pa.array(leaf, pa.string()), pa.array(said, pa.string())], ["id", "own", "leaf", "message"])
+            yield pa.record_batch([ids, *(pa.array(list(c), k) for c, k in zip(columns, kinds))], ["id", "own", "leaf", "message", "alone"])
 
-    return docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(scan, schema)
+    return spread(docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))).mapInArrow(scan, schema)
 
 
-def mine_templates(scanned: DataFrame) -> DataFrame:
-    """(message, template, verdict, n_lines) of every distinct message."""
+def classified_templates(mined: DataFrame) -> DataFrame:
+    """(leaf, template, verdict, n_messages, n): every template once, ``verdict`` null for ordinary ones."""
 
-    def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaf, held = None, []
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for path, message, n in zip(*(c.to_pylist() for c in batch.columns)):
-                if path != leaf or len(held) >= 5_000:  # a leaf of more messages is mined in turns
-                    out.extend(mine_leaf(held))
-                    leaf, held = path, []
-                held.append((message, n))
-            yield _rows(out)
-        yield _rows(list(mine_leaf(held)))
-
-    def _rows(rows: list[tuple[str, str, str | None, int]]) -> pa.RecordBatch:
-        columns = list(zip(*rows)) or [[], [], [], []]
-        kinds = (pa.string(), pa.string(), pa.string(), pa.int64())
-        return pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["message", "template", "verdict", "n_lines"])
-
-    return (
-        scanned.where("message IS NOT NULL")
-        .groupBy("leaf", "message")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .repartitionByRange("leaf", "message")  # a leaf of very many messages spreads over tasks
-        .sortWithinPartitions("leaf", "message")
-        .mapInArrow(mine, "message string, template string, verdict string, n_lines bigint")
-    )
+            verdicts = [classify(t) for t in batch.column(1).to_pylist()]
+            yield pa.record_batch([*batch.columns, pa.array(verdicts, pa.string())], ["leaf", "template", "n_messages", "n", "verdict"])
+
+    each = mined.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("n_messages"), F.sum("n").alias("n"))
+    return each.mapInArrow(judge, "leaf string, template string, n_messages bigint, n bigint, verdict string")
 
 
 def residue(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -351,7 +191,9 @@ def residue(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     are not read.  ``doc_id`` may be null or repeated: rows are then told apart only by it.
     """
     scanned = materialize(scan_documents(docs, doc_id, text), "messages")
-    bad = mine_templates(scanned).where("verdict IS NOT NULL").select("message", "verdict")
-    by_template = scanned.where("message IS NOT NULL").join(bad, "message").select("id", F.col("verdict").alias("kind"))
+    mined = mine_templates(scanned.where("message IS NOT NULL").select("leaf", "message"))
+    verdicts = classified_templates(mined).where("verdict IS NOT NULL").select("leaf", "template", "verdict")
+    bad = mined.join(verdicts, ["leaf", "template"]).select("message", F.col("verdict").alias("kind"))
+    by_template = scanned.where("alone").join(bad, "message").select("id", "kind")
     by_text = scanned.where("own IS NOT NULL").select("id", F.col("own").alias("kind"))
     return by_text.unionByName(by_template).distinct().withColumnRenamed("id", doc_id)

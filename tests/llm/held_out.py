@@ -1,0 +1,230 @@
+"""Notices, prompts, slots, filler and ordinary sentences written down from common public software.
+
+None of them comes from the tables, and none was looked at while the rules were written
+except through the counts that test_held_out.py prints.
+"""
+
+ERROR_PAGES = """
+The requested URL /reports/2021 was not found on this server.
+HTTP Status 500 – Internal Server Error
+404 Not Found
+404 - File or directory not found.
+403 Forbidden
+Forbidden. You don't have permission to access this resource.
+502 Bad Gateway
+503 Service Temporarily Unavailable
+504 Gateway Time-out
+Error 522: Connection timed out
+429 Too Many Requests
+HTTP ERROR 401
+The server is temporarily unable to service your request due to maintenance downtime or capacity problems. Please try again later.
+The server encountered an internal error or misconfiguration and was unable to complete your request.
+This site can't be reached
+The connection has timed out
+This page isn't working
+The page you are looking for might have been removed, had its name changed, or is temporarily unavailable.
+Sorry, this page isn't available.
+Sorry, something went wrong.
+Oops! That page can't be found.
+Page not found
+We couldn't find that page.
+Access to this resource on the server is denied!
+You do not have access to this page.
+Your session has expired. Please log in again.
+Sorry, something went wrong. Reload?
+The service is unavailable.
+Unable to connect to the database server.
+Error establishing a database connection
+This account has been suspended.
+This content is no longer available.
+The link you followed has expired.
+Application error: a server-side exception has occurred.
+An unexpected error has occurred. Please contact the administrator.
+Invalid request. The document does not exist.
+File not found
+The file could not be loaded.
+Request timed out.
+Rate limit exceeded. Please wait a few minutes before you try again.
+The site is currently undergoing scheduled maintenance.
+We'll be back soon! The site is down for maintenance.
+{"message": "Not Found", "status": 404}
+{"error": "Internal Server Error", "code": 500}
+Seite nicht gefunden
+Die von Ihnen aufgerufene Seite existiert leider nicht.
+Der Server ist zurzeit nicht erreichbar. Bitte versuchen Sie es später erneut.
+Zugriff verweigert
+Es ist ein unerwarteter Fehler aufgetreten.
+Ihre Sitzung ist abgelaufen.
+Page introuvable
+La page que vous recherchez n'existe pas.
+Une erreur est survenue. Veuillez réessayer plus tard.
+Le serveur est momentanément indisponible.
+Accès interdit
+Página no encontrada
+La página solicitada no existe.
+Ha ocurrido un error inesperado.
+El servicio no está disponible en este momento.
+Acceso denegado
+Pagina non trovata
+Accesso negato
+Si è verificato un errore imprevisto.
+Il servizio non è al momento disponibile.
+""".strip().split("\n")
+
+SCRIPTS_REQUIRED = """
+We're sorry but app doesn't work properly without JavaScript enabled. Please enable it to continue.
+You need to enable JavaScript to run this app.
+JavaScript is disabled in your browser.
+This site requires JavaScript.
+Please turn on JavaScript in your browser and reload the page.
+JavaScript must be enabled to view this page.
+Your browser does not support JavaScript or it is turned off.
+Enable JavaScript and cookies to continue
+This application requires JavaScript to be enabled.
+JavaScript is not available.
+Bitte aktivieren Sie JavaScript in Ihrem Browser.
+Diese Seite benötigt JavaScript.
+Veuillez activer JavaScript dans votre navigateur.
+Ce site nécessite JavaScript pour fonctionner.
+Por favor, habilite JavaScript en su navegador.
+Este sitio requiere JavaScript.
+Abilita JavaScript per visualizzare questa pagina.
+""".strip().split("\n")
+
+PROMPTS = """
+Write your answer here.
+Your text here
+Type your text here
+Add your description here.
+Insert title here
+Insert your code and comments here.
+Enter a short description of the project.
+Describe your dataset in two or three sentences.
+Delete this section before publishing.
+Replace this text with your own abstract.
+Please fill in the name of your team.
+Your name goes here
+Give a brief summary of your results below.
+Remove this note when you are finished.
+Edit this cell to add your introduction.
+Title of your project
+Schreiben Sie hier Ihre Antwort.
+Bitte hier Ihren Text eingeben.
+Löschen Sie diesen Hinweis vor der Abgabe.
+Écrivez votre réponse ici.
+Remplacez ce texte par votre résumé.
+Escriba su respuesta aquí.
+Reemplace este texto por su resumen.
+Inserisci qui il tuo testo.
+""".strip().split("\n")
+
+SLOTS = """
+Contact us at INSERT_EMAIL_HERE for details.
+Set the key to <YOUR_API_KEY> first.
+Dear %%FIRST_NAME%%,
+Dear {{ customer.first_name }},
+Hello {first_name}, welcome back.
+Prepared by [Your Name] for [Company Name].
+Date: [DATE]
+Copyright (c) [year] [fullname]
+Version <VERSION_NUMBER> of the report
+Author: <insert name>
+Project ${PROJECT_TITLE}
+Welcome, <%= user.name %>!
+See {% url 'home' %} for the list.
+Contact: [INSERT EMAIL ADDRESS]
+Name: __________
+Report of XX.XX.20XX
+Last update: YYYY-MM-DD
+Title: <<title of the talk>>
+Submitted to ##COURSE##
+By @@AUTHOR@@
+Author: TBD
+Sehr geehrte Frau [Nachname],
+Nom : [à compléter]
+Responsable: [nombre y apellido]
+""".strip().split("\n")
+
+FILLER = """
+Lorem ipsum dolor sit amet, consectetur adipiscing elit.
+Sed ut perspiciatis unde omnis iste natus error sit voluptatem accusantium doloremque laudantium.
+Nemo enim ipsam voluptatem quia voluptas sit aspernatur aut odit aut fugit.
+Pellentesque habitant morbi tristique senectus et netus et malesuada fames ac turpis egestas.
+Vestibulum ante ipsum primis in faucibus orci luctus et ultrices posuere cubilia curae.
+Curabitur pretium tincidunt lacus, nulla gravida orci a odio.
+At vero eos et accusam et justo duo dolores et ea rebum.
+Stet clita kasd gubergren, no sea takimata sanctus est lorem ipsum dolor sit amet.
+Nam libero tempore, cum soluta nobis est eligendi optio cumque nihil impedit.
+Integer in mauris eu nibh euismod gravida.
+asdf asdf asdf asdf
+qwertz uiop asdfgh jkl yxcvbnm
+blah blah blah blah
+test test test test test
+This is dummy text. This is dummy text. This is dummy text.
+Beispieltext Beispieltext Beispieltext
+Texto de ejemplo. Texto de ejemplo. Texto de ejemplo.
+""".strip().split("\n")
+
+ORDINARY = """
+Conflict, drought and price are the three drivers of the model.
+The page was moved to the appendix of the report.
+We count how many requests ended with status 404 in March.
+Error bars show one standard deviation.
+The error 3.5 is smaller than before.
+The server room was cooled to 18 degrees.
+Not found in the northern sites: Lutra lutra.
+Missing values were dropped before fitting.
+The session on Monday covered linear models.
+Our script reads the file and writes a table.
+This script needs about two hours.
+JavaScript and Python are compared in chapter 4.
+The survey asks whether respondents enable JavaScript because many sites break without it.
+We describe the data in three sections.
+The title of your first chart should name both axes because readers skim.
+Write-ahead logs are replayed after a crash.
+Insert sizes vary between 200 and 400 bases.
+Enter and exit times are recorded per visitor.
+Replace missing temperatures by the mean of both neighbours.
+Remove rows with negative counts, then take logarithms.
+Add the two columns and divide by the area.
+Give each species its own colour in the plot.
+Type II errors grow with smaller samples.
+The name of the river appears in the last column.
+Access to water is measured in minutes of walking.
+Access was denied to three of the field crews in 2019.
+Permission from the land owner was obtained in May.
+The gateway reports one value every ten minutes.
+Too many zeros make the Poisson model a poor fit.
+An unexpected rise in the error is visible at step 40.
+The internal error of the sensor is given by its maker.
+The service life of the pump is twelve years.
+Unavailable items are marked with a dash in the survey.
+Maintenance of the pump took two days.
+The connection between rainfall and yield is weak.
+The request for more samples was accepted.
+Time out of bed was logged by the patients.
+Something went up by ten percent, and nobody knows why.
+Die Seite des Würfels ist vier Zentimeter lang.
+Der Fehler liegt unter zwei Prozent.
+Der Zugriff auf Wasser wird in Minuten gemessen.
+Die Sitzung am Montag dauerte zwei Stunden.
+Wir beschreiben die Daten in drei Abschnitten.
+La page suivante montre la carte des stations.
+L'erreur moyenne est de deux pour cent.
+Le service de santé fournit les données.
+La sesión del lunes trató de modelos lineales.
+El error medio es del dos por ciento.
+El servicio de salud entrega los datos.
+La pagina seguente mostra la mappa.
+Quercus robur and Fagus sylvatica dominate the plots.
+Salmonella enterica and Escherichia coli were cultured separately.
+The values are [low, high] for each site.
+See [Methods Section] (below) and [1], [2].
+Let $x_{i}$ be the count at site i.
+The interval [0, 1] is split into {ten} parts.
+Tables use the format key: value for each row.
+Mass in kg, height in cm, time in s.
+alpha beta gamma delta epsilon zeta
+True False True True False True False False
+No text was found in eleven of the scans.
+""".strip().split("\n")

@@ -3,7 +3,9 @@ import json
 import pytest
 
 from seqjoin.llm.notebook_cells import split_cells
-from seqjoin.llm.residue import is_filler, message_of, residue, scan_text, verdict_of
+from seqjoin.llm.notices import classify
+from seqjoin.llm.residue import masked, messages_of_line, residue, scan_text
+from seqjoin.llm.slots import is_filler
 
 
 def notebook(*cells, style="json"):
@@ -33,7 +35,7 @@ CODE = ("code", "x = '{{ name }}'\nprint('Please enable JavaScript to view this
 
 def kinds(text):
     own, messages = scan_text(text)
-    return {own, *map(verdict_of, messages)} - {None}
+    return {own, *(classify(m) for m, alone in messages.items() if alone)} - {None}
 
 
 @pytest.mark.parametrize("style", STYLES)
@@ -88,7 +90,9 @@ def test_outputs_tracebacks_and_answers():
 
 
 def test_small_parts():
-    assert message_of("  **Error 404** ") == "error <code>" and message_of("12 | 3.5") is None
+    assert list(messages_of_line(masked("  **Error 404** "))) == [("error <code>", True)] and not list(messages_of_line(masked("12 | 3.5")))
+    assert list(messages_of_line("we met at noon. the page was not found.")) == [("we met at noon.", True), ("the page was not found.", True)]
+    assert list(messages_of_line("we met in the garden at noon. page not found.")) == [("we met in the garden at noon.", True), ("page not found.", False)]
     assert not is_filler("We read the kiln table and keep nine rows of it.") and is_filler("bla bla bla bla")
     assert split_cells(None) == [] and split_cells("") == [("whole", "")] and split_cells('{"cells": 1') == [("whole", '{"cells": 1')]
 
@@ -103,3 +107,24 @@ def test_residue_over_a_table(spark):
     got = {(r.doc_id, r.kind) for r in residue(df).collect()}
     assert got == {(1, "error_page"), (2, "error_page"), (5, "error_page"), (5, "slot"), (None, "error_page"), (7, "slot")}
     assert residue(df.limit(0)).count() == 0
+
+
+def test_length_hides_nothing():
+    words = "".join(f" and {a}{b}" for a in "bdfghklmnp" for b in ("al", "or", "im", "est", "un"))
+    assert kinds(f"Service unavailable. The rest of this line is about{words}.") == {"error_page"}
+    assert kinds("x" * 20_000 + "{{name}}") == {"slot"}
+    long = "Please enable or activate or turn on or switch on or allow JavaScript in this browser and in its settings and on this page to see and view and use and reload this page and its content and its viewer"
+    assert kinds(long + ".") == {"scripts_required"}
+    assert kinds("Please enable JavaScript\nto view this page.") == {"scripts_required"}
+    assert kinds(notebook(CODE, ("output", "\n".join(f"Template {{{{item_{i}}}}}" for i in range(3))))) == {"slot"}
+
+
+def test_verdicts_come_from_templates(spark):
+    """A name in a message hides what it is; where the name varies, the template shows it."""
+    names = ["budgets", "gauges", "harvests", "kilometres", "ledgers", "minutes"]
+    line = "The requested file %s of project %s could not be opened by this server."
+    rows = [(i, line % (a, b)) for i, (a, b) in enumerate(zip(names, reversed(names)))]
+    rows += [(100, "The requested file budgets of project harvests was painted by two pianists at sea.")]
+    assert all(kinds(t) == set() for _, t in rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.kind) for r in residue(df).collect()} == {(i, "error_page") for i in range(len(names))}
