@@ -11,7 +11,7 @@ from seqjoin.llm.heavy import frequent_values
 from seqjoin.llm.mixture import Goal, mix, share_report
 from seqjoin.llm.packing import fill_report, pack
 from seqjoin.llm.residue import classified_templates, residue, scan_documents
-from seqjoin.llm.seen import SeenStore, seen_reads, sequence_key, wrong_answers
+from seqjoin.llm.seen import SeenStore, answer_rates, arrive, seen_reads, sequence_key, unverified_rates
 from seqjoin.llm.spans import shared_spans
 from seqjoin.llm.templates import mine_templates
 from seqjoin.llm.tokens import count_tokens
@@ -100,20 +100,28 @@ SELECT rec_id, CAST(min(b) AS INTEGER) AS span_start, CAST(max(e) - min(b) AS IN
 # 5: keys seen before
 
 
-def _history(spark: SparkSession, sf_dir: str) -> SeenStore:
+def _history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, SeenStore]:
+    old = _table(spark, sf_dir, "results").select(sequence_key(F.col("seq")).alias("key"))
     store = SeenStore(spark)
-    store.add(_table(spark, sf_dir, "results").select(sequence_key(F.col("seq")).alias("key")))
-    return store
+    store.add(old)
+    return old, store
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     reads = _table(spark, sf_dir, "read_in_seq")
-    return seen_reads(reads, "read_no", sequence_key(F.col("seq")), _history(spark, sf_dir))
+    return seen_reads(reads, "read_no", sequence_key(F.col("seq")), _history(spark, sf_dir)[1])
 
 
 def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reads = _table(spark, sf_dir, "read_in_seq")
-    return wrong_answers(reads, "read_no", sequence_key(F.col("seq")), _history(spark, sf_dir))
+    reads, (old, store) = _table(spark, sf_dir, "read_in_seq"), _history(spark, sf_dir)
+    arrive(reads, "read_no", sequence_key(F.col("seq")), store)
+    return answer_rates(reads, "read_no", sequence_key(F.col("seq")), old, store)
+
+
+def p5_unverified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reads, (_, store) = _table(spark, sf_dir, "read_in_seq"), _history(spark, sf_dir)
+    arrive(reads, "read_no", sequence_key(F.col("seq")), store)
+    return unverified_rates(reads, sequence_key(F.col("seq")), store)
 
 
 _P5 = """
@@ -127,6 +135,11 @@ SELECT read_no FROM (SELECT read_no, k, min(read_no) OVER (PARTITION BY k) AS fi
 WHERE read_no > first_no AND k NOT IN (SELECT k FROM old)
 """
 
+_P5_RATES = f"""
+SELECT count(*) FILTER (WHERE seq <> '') AS n_answers, (SELECT count(*) FROM ({_P5})) AS n_seen, CAST(0 AS BIGINT) AS n_wrong, CAST(0 AS DOUBLE) AS wrong_rate
+FROM read_in_seq
+"""
+
 # 7: containers
 
 
@@ -197,6 +210,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_removable": p4_removable,
         "p5_found": p5_found,
         "p5_rates": p5_rates,
+        "p5_unverified": p5_unverified,
         "p7_packed": p7_packed,
         "p7_fill": p7_fill,
         "p8_mixture": p8_mixture,
@@ -217,4 +231,5 @@ def oracle_sql() -> dict[str, str]:
         "p4_found": _PIECES.format(which="low <> high"),
         "p4_removable": _PIECES.format(which="rec_id > low"),
         "p5_found": _P5,
+        "p5_rates": _P5_RATES,
     }
