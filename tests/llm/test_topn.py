@@ -2,46 +2,74 @@ import random
 
 import pytest
 
-from seqjoin.llm.topn import top_n_per_group
+from seqjoin.llm.topn import score_thresholds, top_n_per_group
 
-SCHEMA = "g string, s int, t string, p int, n long, `__top` int, rank int"
+SCHEMA = "seq string, nmiss int, target string, row_no long, __g string, rank int, s int"
 
 
-def brute(rows, n=3):
-    best = {}
-    for r in rows:
-        if r[0] is not None and r[1] is not None:
-            best.setdefault(r[0], []).append(r)
-    key = lambda r: (r[1], r[2] is not None, r[2] or "", r[3] is not None, r[3] or 0, r[4])
-    return sorted(r[4] for g in best.values() for r in sorted(g, key=key)[:n])
+def rows_of(seed, n=4000):
+    r = random.Random(seed)
+    out = []
+    for i in range(n):
+        g = r.choice(["HOT", "HOT", None, "", *"ABCDEFGH", f"g{r.randrange(500)}", "L" * 600])
+        score = r.choice([None, *range(-3, 12)]) if g != "E" else 4
+        out.append((g, score, r.choice(["t1", "t2", None, "Ä"]), i, "x", 9, 1))
+    return out
 
 
-def data(seed, n):
-    r = random.Random(seed)
-    groups = ["hot"] * 30 + ["a", "b", "", None, "é"]
-    return [(r.choice(groups), r.choice([0, 0, 1, 5, 700, None]), r.choice(["x", "X", None, "xx"]), r.choice([1, 2, None]), i, 1, 9) for i in range(n)]
+def brute(rows, n):
+    groups = {}
+    for row in rows:
+        if row[0] is not None and row[1] is not None:
+            groups.setdefault(row[0], []).append(row)
+    key = lambda x: (x[1], x[2] is not None, (x[2] or "").encode(), x[3])
+    return sorted((x[3], i + 1) for g in groups.values() for i, x in enumerate(sorted(g, key=key)[:n]))
+
+
+@pytest.mark.parametrize("n,options", [(3, {}), (1, {"min_rows": 2}), (40, {"min_rows": 41}), (3, {"min_rows": 4, "most_groups": 2}), (3, {"min_rows": 10**6}), (10_000, {})])
+def test_against_sorting_every_group(spark, n, options):
+    rows = rows_of(n)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    got = top_n_per_group(df, "seq", "nmiss", ["target", "row_no"], n, **options)
+    assert set(got.columns) == set(df.columns)
+    assert sorted((r.row_no, r.rank) for r in got.collect()) == brute(rows, n)
+
+
+@pytest.mark.parametrize("scale,shift", [(1e-9, 0.0), (1.0, 0.0), (1e6, 1e12), (-1.0, 0.0)])
+def test_a_hot_group_of_any_scores_is_filtered(spark, scale, shift):
+    """Edges come from the scores themselves: a far outlier or a narrow range changes nothing."""
+    r = random.Random(7)
+    rows = [("HOT", shift + scale * r.random(), i) for i in range(20_000)] + [("HOT", -1e300, 20_000)] + [(f"g{i}", 0.5, 30_000 + i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "g string, score double, no long")
+    limits = {x.g: x.top for x in score_thresholds(df, "g", "score", ["no"], 3, min_rows=48).collect()}
+    assert set(limits) == {"HOT"}
+    kept = sum(s <= limits["HOT"] for g, s, _ in rows if g == "HOT")
+    assert 3 <= kept <= 2000
+    got = {x.no for x in top_n_per_group(df, "g", "score", ["no"], 3).collect()}
+    assert got == {no for _, _, no in sorted(rows[:20_001], key=lambda x: (x[1], x[2]))[:3]} | {no for *_, no in rows[20_001:]}
 
 
-@pytest.mark.parametrize("options", [{}, {"min_rows": 4}, {"min_rows": 4, "broadcast_groups": 0, "salts": 3}])
-def test_against_brute_force(spark, options):
-    rows = data(1, 2000)
-    got = top_n_per_group(spark.createDataFrame(rows, SCHEMA).repartition(5), "g", "s", ["t", "p", "n"], 3, **options)
-    assert sorted(r["n"] for r in got.collect()) == brute(rows)
-    assert set(got.columns) == {"g", "s", "t", "p", "n", "__top", "rank"}
+def test_thresholds_are_bounded_and_safe(spark):
+    df = spark.createDataFrame([(f"g{i % 50}", (i * 7919) % 1000, i) for i in range(10_000)], "g string, score int, no long")
+    limits = score_thresholds(df, "g", "score", ["no"], 5, min_rows=10, most_groups=7).collect()
+    assert len(limits) <= 7
+    for x in limits:
+        assert df.where((df.g == x.g) & (df.score <= x.top)).count() >= 5
+    assert score_thresholds(df, "g", "score", ["no"], 5, min_rows=10, key_bytes=1) is None
 
 
-def test_small_empty_and_repeated(spark):
-    assert top_n_per_group(spark.createDataFrame([], SCHEMA), "g", "s", ["n"]).count() == 0
-    same = [("a", 1, "t", 1, i, 0, 0) for i in (3, 1, 2, 1)]
-    got = top_n_per_group(spark.createDataFrame(same, SCHEMA), "g", "s", ["t", "p", "n"], 3).orderBy("rank").collect()
-    assert [(r["n"], r["rank"]) for r in got] == [(1, 1), (1, 2), (2, 3)]
-    long = [("x" * 200_000, i, None, None, i, 0, 0) for i in range(5)]
-    assert top_n_per_group(spark.createDataFrame(long, SCHEMA), "g", "s", ["n"], 3).count() == 3
+def test_empty_and_small(spark):
+    none = spark.createDataFrame([], SCHEMA)
+    assert top_n_per_group(none, "seq", "nmiss", ["row_no"]).count() == 0
+    one = spark.createDataFrame([("A", 1, None, 1, None, None, None)], SCHEMA)
+    assert top_n_per_group(one, "seq", "nmiss", ["row_no"]).head()["rank"] == 1
 
 
 def test_threshold_drops_rows_before_the_shuffle(spark):
-    rows = [("hot", i % 50, "t", 1, i, 0, 0) for i in range(1000)]
-    got = top_n_per_group(spark.createDataFrame(rows, SCHEMA), "g", "s", ["n"], 3)
+    df = spark.createDataFrame([("hot", i % 50, i) for i in range(1000)], "g string, s int, n long")
+    got = top_n_per_group(df, "g", "s", ["n"], 3)
     assert sorted(r["n"] for r in got.collect()) == [0, 50, 100]
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "BroadcastHashJoin" in plan
+    long = spark.createDataFrame([("x" * 200_000, i, i) for i in range(60)], "g string, s int, n long")
+    assert top_n_per_group(long, "g", "s", ["n"], 3).count() == 3
