@@ -92,10 +92,9 @@ _BLANK = re.compile(r"\n\s*\n")
 
 def _is_filler_block(block: str, repeats: bool) -> bool:
     """Whether a line, or all lines of a paragraph together, are filler; headings and tables aside."""
-    prose = [x for x in dict.fromkeys(block.split("\n")) if x and x.lstrip()[:1] not in "#|"]
-    if any(is_filler(x, repeats) for x in prose if len(x) > 12):
-        return True
     lines = [x for x in block.split("\n") if x and x.lstrip()[:1] not in "#|"]
+    if any(len(x) > 12 and is_filler(x, repeats) for x in dict.fromkeys(lines)):
+        return True
     return len(lines) > 1 and is_filler("\n".join(lines), repeats)
 
 
@@ -118,7 +117,9 @@ def masked(said: str) -> str:
 
 def messages_of_line(line: str) -> Iterator[tuple[str, bool]]:
     """(message, whether it stands on its own) of every sentence of a masked line that has words."""
-    pieces = [" ".join(_MARKS.sub("", x).split()) for x in (_SENTENCE_END.split(line) if _SENTENCE_END.search(line) else [line])]
+    if not _LETTERS.search(line):
+        return
+    pieces = [" ".join(_MARKS.sub("", x).split()) for x in _SENTENCE_END.split(line)]
     sizes = [x.count(" ") + 1 for x in pieces]
     total, before = sum(sizes), 0
     for piece, size in zip(pieces, sizes):

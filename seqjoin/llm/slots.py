@@ -29,7 +29,10 @@ _SLOTS = re.compile(
     r"|(?<!\w)(?i:(?:dd|tt|jj)([./-])mm\1(?:yyyy|jjjj|aaaa|yy)|mm([./-])dd\2yyyy|(?:yyyy|jjjj|aaaa)([./-])mm\3(?:dd|tt|jj))(?!\w)"
     r"|(?m:(?<=: )(?:TBD|TBA|T\.B\.D\.|_{5,})[ \t]*[.]?$)"
 )
-_SLOT_START = re.compile(r"[{<%$#@\[(]|__[A-Z]|(?<!_)_{5}|X[xX]|(?:INSERT|ENTER|YOUR|REPLACE|FILL|PUT|CHANGE)_|TB[AD]|T\.B|(?i:(?:dd|tt|jj)[./-]mm|mm[./-]dd|(?:yyyy|jjjj|aaaa)[./-]mm)")
+_SLOT_START = re.compile(
+    r"\{(?:[{%]|[^\W\d_])|<[%<]|<[ \t]*[^\W\d_]|[\[(][\[( \t]*[^\W\d_]|\$[{A-Z]|%%?[A-Z]|##[A-Z]|@@[A-Z]|__[A-Z]|(?<!_)_{5}|X[xX]"
+    r"|(?:INSERT|ENTER|YOUR|REPLACE|FILL|PUT|CHANGE)_|TB[AD]|T\.B|[dDtTjJ]{2}[./-][mM]|[mM]{2}[./-][dD]|[yYjJaA]{4}[./-][mM]"
+)
 
 
 def without_slots(text: str) -> tuple[str, bool]:
@@ -94,15 +97,34 @@ def _latin(word: str) -> float:
 def is_latin_filler(words: list[str]) -> bool:
     """Whether words are imitation Latin: hardly a word that only running text of a modern language has, nearly all of Latin form.
 
-    Three known words of the usual filler suffice with that; without any, the words have to be
+    Two known words of the usual filler suffice with that; without any, the words have to be
     eight or more, none of them such a word, and look Latin nearly throughout.
     """
+    n, running = len(words), 0
+    for w in words:
+        running += w in _RUNNING and w not in _LATIN
+        if running > n / 8:
+            return False
+    if n < 4:
+        return False
+    different = set(words)
+    known = len(different & _LATIN)
+    if known >= 0.6 * len(different):
+        return True
+    return (known >= 2 or n >= 8 and not running) and sum(map(_latin, words)) >= 0.8 * n
+
+
+def _is_mashed(words: list[str]) -> bool:
+    """Whether at least three of four words are keys struck at random, and half of all words long enough to tell."""
     n = len(words)
-    running = sum(w in _RUNNING and w not in _LATIN for w in words)
-    if n < 4 or running > n / 8:
+    if n < 4 or sum(len(w) > 3 for w in words) < n / 2:
         return False
-    form, known = sum(map(_latin, words)) / n, sum(w in _LATIN for w in set(words))
-    return known >= 0.6 * len(set(words)) or known >= 2 and form >= 0.8 or n >= 8 and not running and form >= 0.8
+    spared = n - 0.75 * n
+    for w in words:
+        spared -= not _mashed(w)
+        if spared < 0:
+            return False
+    return True
 
 
 def is_filler(text: str, repeats: bool = True) -> bool:
@@ -120,6 +142,4 @@ def is_filler(text: str, repeats: bool = True) -> bool:
         return True
     if repeats and n >= 8 and different <= n * 0.2 and "|" not in text:
         return True
-    if is_latin_filler(words):
-        return True
-    return n >= 4 and sum(map(_mashed, words)) >= 0.75 * n and sum(len(w) > 3 for w in words) >= n / 2
+    return is_latin_filler(words) or _is_mashed(words)
