@@ -69,6 +69,48 @@ def test_hot_anchors_take_the_other_way(spark, monkeypatch):
         assert {tuple(r) for r in shared_spans(df, "id", "text", later=later).collect()} == brute(texts, 50, later)
 
 
+@pytest.mark.parametrize("later", [False, True])
+def test_large_anchors_are_let_through_on_arrival(spark, monkeypatch, later):
+    """A block that a third of all records share, found only when its group runs full, is matched piece by piece."""
+    r = random.Random(3)
+    block = "".join(r.choice("ACGT") for _ in range(60))
+    texts = [(i, ("".join(r.choice("ACGT") for _ in range(40)) + block if i % 3 == 0 else "".join(r.choice("ACGT") for _ in range(80)))) for i in range(300)]
+    texts += [(i, t) for i, t in data(5) if i not in dict(texts)]
+    sizes = []
+    let = spans.Group._let_through
+    monkeypatch.setattr(spans, "UNITS_IN_GROUP", 40)
+    monkeypatch.setattr(spans, "_hot_anchors", lambda *a: (np.zeros(0, np.uint64), 10_000))
+    group = spans.Group(50, 31, later, 40)
+    for i in range(0, len(texts), 20):
+        ids, plain = zip(*[(i, (t or "") + "X") for i, t in texts[i : i + 20]])
+        text = np.frombuffer("".join(x if x.isascii() else "X" for x in plain).encode(), np.uint8)
+        ends = np.cumsum([len(x) if x.isascii() else 1 for x in plain])
+        start, pieces, _ = cut_units(text, 50, 31)
+        rec = np.searchsorted(ends, start, "right")
+        lengths = pieces + 49
+        for b in group.add((np.array(ids)[rec], start - (ends - [len(x) if x.isascii() else 1 for x in plain])[rec], pieces, spans.gather(text, start, lengths))):
+            sizes.append(b.num_rows)
+        assert group.n <= group.limit
+    assert sum(sizes) > 300 and let is spans.Group._let_through
+    df = spark.createDataFrame(rows(texts), SCHEMA).repartition(5)
+    assert {tuple(r) for r in shared_spans(df, "id", "text", later=later, partitions=2).collect()} == brute(texts, 50, later)
+
+
+def test_hot_pieces_go_back_by_broadcast(spark):
+    rows = [(b"hot", i, 0) for i in range(400)] + [(b"p%d" % (i // 2), i, 5) for i in range(300)] + [(b"alone", 7, 0)] * 3
+    df = spark.createDataFrame(rows, "piece binary, rec_id long, b long").repartition(4)
+    for later in (False, True):
+        want = sorted((i, b, b + 50) for p, i, b in rows if p != b"alone" and not (later and (p == b"hot" and i == 0 or p != b"hot" and i % 2 == 0)))
+        for share in (0.0, 0.01, 1.0):
+            assert sorted(map(tuple, spans._piecewise(df, 50, later, share).collect())) == want
+
+
+def test_equal_units_are_one_class():
+    text = np.frombuffer(b"ACGTACGTAACGTAACGTACG", np.uint8)
+    of, head = spans._classes(text, np.array([0, 4, 8, 13, 17]), np.array([4, 4, 5, 4, 4]))
+    assert len(head) == len(set(of.tolist())) == 4 and of[0] == of[1]
+
+
 def test_empty_and_null_ids(spark):
     assert shared_spans(spark.createDataFrame([], SCHEMA), "id", "text").count() == 0
     same = "ACGTTGCA" * 10
