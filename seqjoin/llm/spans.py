@@ -147,13 +147,17 @@ def _unpack(blob: memoryview) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return ids, offs, pieces, out[3]
 
 
+_powers: list[np.ndarray] = []
+
+
 def _range_hashes(data: np.ndarray, begin: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """64-bit polynomial hash of every slice, by differences of a running sum."""
-    base = np.uint64(int(_BASE) | 1)
-    back = np.uint64(pow(int(base), -1, 2**64))
-    powers = np.cumprod(np.full(len(data), back, np.uint64))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_CODE[data] * powers)])
-    lift = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(len(data), base, np.uint64))])
+    if not _powers or len(_powers[0]) <= len(data):  # powers of the base and of its inverse, kept for the next call
+        base = int(_BASE) | 1
+        ones = np.ones(1, np.uint64)
+        _powers[:] = [np.concatenate([ones, np.cumprod(np.full(2 * len(data), x, np.uint64))]) for x in (base, pow(base, -1, 2**64))]
+    lift, back = _powers
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_CODE[data] * back[: len(data)])])
     found = (sums[begin + lengths] - sums[begin]) * lift[begin] + lengths.astype(np.uint64) * _BASE
     found ^= found >> np.uint64(31)
     return found * np.uint64(0xBF58476D1CE4E5B9)
@@ -164,14 +168,16 @@ def _classes(text: np.ndarray, begin: np.ndarray, lengths: np.ndarray) -> tuple[
     digest = _range_hashes(text, begin, lengths)
     while True:
         _, head, of = np.unique(digest, return_index=True, return_inverse=True)
-        same = lengths == lengths[head][of]
-        wanted = np.where(same, begin[head][of], begin)
-        differ = gather(text, begin, lengths) != gather(text, wanted, lengths)
+        copies = np.flatnonzero(head[of] != np.arange(len(of)))
+        like = head[of[copies]]
+        same = lengths[copies] == lengths[like]
+        size = np.where(same, lengths[copies], 0)
+        differ = gather(text, begin[copies], size) != gather(text, begin[like], size)
         if differ.any():
-            same &= np.bincount(np.repeat(np.arange(len(begin)), lengths)[differ], minlength=len(begin)) == 0
+            same &= np.bincount(np.repeat(np.arange(len(copies)), size)[differ], minlength=len(copies)) == 0
         if same.all():
             return of, head
-        digest = np.where(same, digest, digest + np.uint64(1))  # two texts of one digest: another digest for the later ones
+        digest[copies[~same]] += np.uint64(1)  # two texts of one digest: another digest for the later ones
 
 
 def _class_intervals(text: np.ndarray, begin: np.ndarray, pieces: np.ndarray, low: np.ndarray, high: np.ndarray, min_len: int, later: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
