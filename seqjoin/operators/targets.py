@@ -34,32 +34,35 @@ def prepare_targets(targets: DataFrame, rev: bool = False) -> DataFrame:
     return rows.withColumn("len", F.length("seq"))
 
 
-def stretches(targets: DataFrame, width: int, most: int = STRETCH) -> DataFrame:
-    """(num, base, part): targets cut into stretches that overlap by ``width - 1`` bases.
+def stretches(targets: DataFrame, overlap: int, least: int = 1, most: int = STRETCH) -> DataFrame:
+    """(num, base, part): targets cut into stretches that begin every ``most`` bases and run ``overlap`` bases into the next.
 
-    Cutting is linear in the target's length, which it is not in SQL, and the shuffle spreads
-    the stretches of a long target over all tasks.
+    No stretch begins less than ``least`` bases before the target's end.  Cutting is linear in
+    the target's length, which it is not in SQL.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for num, seq in zip(batch.column(0), batch.column(1)):
                 text = seq.as_py()
-                bases = range(0, len(text) - width + 1, most)
+                bases = range(0, len(text) - least + 1, most)
                 for some in (bases[i : i + 256] for i in range(0, len(bases), 256)):
-                    parts = [text[b : b + most + width - 1] for b in some]
+                    parts = [text[b : b + most + overlap] for b in some]
                     yield pa.record_batch([pa.array([num.as_py()] * len(parts), pa.int64()), pa.array(some, pa.int32()), pa.array(parts, pa.string())], ["num", "base", "part"])
 
-    long = targets.where(F.length("seq") >= most + width).select("num", "seq").mapInArrow(cut, "num long, base int, part string")
-    short = targets.where(F.length("seq").between(width, most + width - 1)).select("num", F.lit(0).alias("base"), F.col("seq").alias("part"))
-    return short.unionByName(long).repartition("num", "base")
+    length = F.length("seq")
+    long = targets.where(length >= most + least).select("num", "seq").mapInArrow(cut, "num long, base int, part string")
+    short = targets.where(length.between(least, most + least - 1)).select("num", F.lit(0).alias("base"), F.substring("seq", 1, most + overlap).alias("part"))
+    return short.unionByName(long)
 
 
 def target_windows(targets: DataFrame, width: int) -> DataFrame:
     """(num, p, key): the ``width``-mer at every offset of every target, without the target's text.
 
-    Stretches are cut as bytes, where a substring costs its own length, not its offset.
+    The shuffle of the stretches, a twentieth of the k-mers' size, spreads those of a long
+    target over all tasks.  Stretches are cut as bytes, where a substring costs its own
+    length, not its offset.
     """
-    rows = stretches(targets, width).select("num", "base", F.col("part").cast("binary").alias("bytes"))
+    rows = stretches(targets, width - 1, width).repartition("num", "base").select("num", "base", F.col("part").cast("binary").alias("bytes"))
     rows = rows.select("num", "base", "bytes", F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - width)).alias("i"))
     return rows.select("num", (F.col("base") + F.col("i")).alias("p"), F.substring("bytes", F.col("i") + 1, F.lit(width)).cast("string").alias("key"))

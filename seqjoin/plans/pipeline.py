@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
 from seqjoin.config import Config
-from seqjoin.operators.match import best_matches, confirm
+from seqjoin.operators.match import best_matches, confirm, windows_at_most
 from seqjoin.operators.reads import prepare_reads, read_windows, unique_reads
-from seqjoin.operators.report import non_matches, read_stats, results, target_stats
+from seqjoin.operators.report import join_target_names, non_matches, read_stats, results, target_stats
 from seqjoin.operators.targets import prepare_targets, target_windows
 from seqjoin.scratch import materialize
 from seqjoin.sources import readers, writers
@@ -17,14 +17,20 @@ from seqjoin.sources import readers, writers
 
 @dataclass(frozen=True)
 class Matched:
-    """What a run gives; every part is lazy."""
+    """What a run gives.  Reads and matches stand in the shared folder; everything derived from them is lazy."""
 
     reads: DataFrame
-    results: DataFrame
+    best: DataFrame
+    targets: DataFrame
+    stored: DataFrame | None = None
+
+    @property
+    def results(self) -> DataFrame:
+        return results(self.best, self.targets, self.reads) if self.stored is None else self.stored
 
     @property
     def non_matches(self) -> DataFrame:
-        return non_matches(self.reads, self.results)
+        return non_matches(self.reads, self.best)
 
     @property
     def read_stats(self) -> DataFrame:
@@ -32,16 +38,19 @@ class Matched:
 
     @property
     def target_stats(self) -> DataFrame:
-        return target_stats(self.results)
+        return target_stats(join_target_names(self.best, self.targets))
+
 
+def match(reads: DataFrame, targets: DataFrame, cfg: Config, windows: DataFrame | None = None) -> Matched:
+    """Match raw reads (name, seq) with prepared targets (num, name, seq, len).
 
-def match(reads: DataFrame, targets: DataFrame, cfg: Config) -> Matched:
-    """Match raw reads (name, seq) with prepared targets (num, name, seq, len)."""
+    The distinct reads and the verified matches are computed at once and written to the
+    shared folder.  ``windows`` are the targets' windows where they are kept.
+    """
     unique = materialize(unique_reads(prepare_reads(reads, cfg)), "reads")
-    windows = materialize(read_windows(unique, cfg), "windows")
-    hits = confirm(windows, target_windows(targets, cfg.WindowWidth), targets, cfg)
-    best = best_matches(materialize(hits, "matches"), cfg.MMTol)
-    return Matched(unique, results(best, targets, unique))
+    windows = target_windows(targets, cfg.WindowWidth) if windows is None else windows
+    hits = confirm(read_windows(unique, cfg), windows, targets, cfg, windows_at_most(unique, cfg))
+    return Matched(unique, best_matches(hits, cfg.MMTol), targets)
 
 
 def run(spark: SparkSession, cfg: Config, rev: bool = False) -> Matched:
@@ -50,6 +59,6 @@ def run(spark: SparkSession, cfg: Config, rev: bool = False) -> Matched:
     reads = readers.read_fastq(spark, cfg.ReadFileName)
     targets = materialize(prepare_targets(readers.read_targets(spark, cfg.GeneFileName), rev), "targets")
     made = match(reads, targets, cfg)
-    found = Matched(made.reads, materialize(made.results, "results"))
+    found = replace(made, stored=materialize(made.results, "results"))
     writers.write_all(found, cfg)
     return found

@@ -52,25 +52,34 @@ def windows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
-    keys = windows(spark, sf)
-    return m.seed_join(keys, target_windows(targets(spark, sf), CFG.WindowWidth))
+    return m.candidates(windows(spark, sf), target_windows(targets(spark, sf), CFG.WindowWidth))
 
 
-def fits(spark: SparkSession, sf: str, tail: int = 0) -> DataFrame:
-    return m.fitting(pairs(spark, sf).select("seq", "num", "pos").distinct(), targets(spark, sf), tail)
+def fits(spark: SparkSession, sf: str, tail: bool = False) -> DataFrame:
+    return m.fitting(pairs(spark, sf).select("seq", "num", "pos").distinct(), targets(spark, sf), CFG.MaxReadLength, tail)
 
 
 def hits(spark: SparkSession, sf: str) -> DataFrame:
     return m.within_budget(fits(spark, sf), CFG.PMatch)
 
 
+def hits_per_window(spark: SparkSession, sf: str) -> DataFrame:
+    """A match of several windows stands here as often."""
+    return m.within_budget(m.fitting(pairs(spark, sf), targets(spark, sf), CFG.MaxReadLength), CFG.PMatch)
+
+
+def screened(spark: SparkSession, sf: str) -> DataFrame:
+    keys = windows(spark, sf)
+    return m.screen(target_windows(targets(spark, sf), CFG.WindowWidth), keys).join(keys.select("key").distinct(), "key", "left_semi")
+
+
 def capped(spark: SparkSession, sf: str, cfg: Config) -> DataFrame:
-    found = m.within_budget(fits(spark, sf, cfg.MaxReadLength), cfg.PMatch)
+    found = m.within_budget(fits(spark, sf, True), cfg.PMatch)
     return m.capped(m.seeding_windows(found, cfg), cfg).select("win", "key", "seq", "num", "pos", "nmiss")
 
 
 def best(spark: SparkSession, sf: str) -> DataFrame:
-    return m.best_matches(materialize(m.combine(hits(spark, sf)), "matches"), CFG.MMTol)
+    return m.best_matches(materialize(hits(spark, sf), "matches").select("seq", "sub", "pos", "nmiss", "num"), CFG.MMTol)
 
 
 def matched(spark: SparkSession, sf: str, cfg: Config = CFG, rev: bool = False) -> pipeline.Matched:
@@ -99,14 +108,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "dinuc_count": lambda s, d: _masked(s, d, pairs=dinucleotides(seq("seq"))),
         "complexity_filter": lambda s, d: _masked(s, d, seq=seq("seq")).where(dinucleotides(seq("seq")) >= 12).select("read_no"),
         "target_kmers": lambda s, d: target_windows(targets(s, d), CFG.WindowWidth),
-        "screen_semi": lambda s, d: m.screen(target_windows(targets(s, d), CFG.WindowWidth), windows(s, d)).select("num", "p", "key"),
+        "screen_semi": lambda s, d: screened(s, d).select("num", "p", "key"),
         "seed_join": pairs,
         "fit_filter": fits,
         "hamming": lambda s, d: fits(s, d).select("seq", "num", "pos", hamming(seq("seq"), seq("sub")).alias("nmiss")),
         "mismatch_budget": lambda s, d: unique(s, d).select("seq", mismatch_budget(F.length("seq"), CFG.PMatch).alias("budget")),
         "confirm_best_cap": lambda s, d: capped(s, d, BEST2),
         "confirm_first_cap": lambda s, d: capped(s, d, FIRST2),
-        "combine_distinct": lambda s, d: m.combine(hits(s, d)),
+        "combine_distinct": lambda s, d: m.combine(hits_per_window(s, d)),
         "best_within_tol": best,
         "join_target_names": lambda s, d: report.join_target_names(best(s, d), targets(s, d)),
         "join_read_names": lambda s, d: report.join_read_names(best(s, d), unique(s, d)),

@@ -3,6 +3,7 @@ from collections import defaultdict
 from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 
 from seqjoin.config import Config
 from seqjoin.operators import match as m
@@ -96,6 +97,11 @@ def test_large_caps_rank_only_large_groups(spark, monkeypatch):
     test_pipeline_against_nested_loops(spark, {"MaxMatches": 2})
 
 
+def test_pipeline_beyond_the_broadcast_bound(spark, monkeypatch):
+    monkeypatch.setattr(m, "BROADCAST_BYTES", 0)
+    test_pipeline_against_nested_loops(spark, {})
+
+
 def test_empty_inputs(spark):
     none = spark.createDataFrame([], "name string, seq string")
     targets = prepare_targets(spark.createDataFrame([(0, "t", "ATGCATGCATGC")], "num long, name string, seq string"))
@@ -134,7 +140,7 @@ def test_target_windows_of_long_targets(spark):
     targets = prepare_targets(spark.createDataFrame([(i, "t", t) for i, t in texts.items()], "num long, name string, seq string"))
     got = {(x.num, x.p, x.key) for x in target_windows(targets, 6).collect()}
     assert got == {(i, p, t[p : p + 6]) for i, t in texts.items() for p in range(len(t) - 5)}
-    assert stretches(targets, 6).count() == 4
+    assert stretches(targets, 5, 6).count() == 4 and stretches(targets, 100).where("num = 3").count() == 0
 
 
 def test_reverse_complements_and_numbers(spark):
@@ -143,11 +149,62 @@ def test_reverse_complements_and_numbers(spark):
     assert got == [(0, "a", "AATGX", 5), (1, "a_r", "XCATT", 5), (2, "b", "CC", 2), (3, "b_r", "GG", 2)]
 
 
-def test_screen_beyond_the_broadcast_bound(spark):
+def test_screen_loses_no_window(spark):
     reads, targets = data(4)
     windows = read_windows(unique_reads(prepare_reads(spark.createDataFrame(reads, "name string, seq string"), CFG)), CFG)
     kmers = target_windows(prepare_targets(spark.createDataFrame([(i, *t) for i, t in enumerate(targets)], "num long, name string, seq string")), 6)
-    assert sorted(m.screen(kmers, windows).collect()) == sorted(m.screen(kmers, windows, 0).collect())
+    exact = {tuple(r) for r in kmers.join(windows.select("key").distinct(), "key", "left_semi").select("num", "p", "key").collect()}
+    passed = {tuple(r) for r in m.screen(kmers, windows).collect()}
+    assert exact <= passed and len(passed - exact) <= 0.05 * kmers.count()
+    assert m.screen(kmers, windows.limit(0)).count() == 0
+
+
+def test_filters_are_shared_out_over_many_keys(spark):
+    from seqjoin.functions import sketches
+
+    values = spark.range(0, 4000, 2).select(F.col("id").cast("string").alias("key"))
+    passed = spark.range(4000).where(sketches.may_be_among(F.col("id").cast("string"), values, "key", 200_000_000, most_filters=3)).count()
+    assert 2000 <= passed <= 2050
+
+
+@pytest.mark.parametrize("share", [1 / 1024, 0.01])
+def test_large_seed_search_shuffles_screened_windows_once(spark, share, monkeypatch):
+    """Beyond the broadcast bound target windows are screened where they are made and shuffled once; hot keys are spread."""
+    monkeypatch.setattr(m, "HOT_SHARE", share)
+    reads, targets = data(6)
+    reads = spark.createDataFrame(reads + [(f"@h{i}", "ATGCATGC" + "ACGT"[i % 4] * 2 + "ATGC"[i // 4 % 4] * 2) for i in range(16)], "name string, seq string")
+    targets = prepare_targets(spark.createDataFrame([(i, *t) for i, t in enumerate(targets + [("h", "ATGCATGCATGCATGC")] * 3)], "num long, name string, seq string"))
+    windows = read_windows(unique_reads(prepare_reads(reads, CFG)), CFG)
+    want = {tuple(r) for r in m.seed_join(windows, target_windows(targets, 6)).collect()}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = m.candidates(windows, target_windows(targets, 6), broadcast_bytes=0)
+        assert {tuple(r) for r in found.collect()} == want and len(want) > 100
+        plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert "might_contain" in plan
+        assert plan.count("Exchange hashpartitioning(key#") == 2  # one a side
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_fitting_over_stretches_of_long_targets(spark):
+    r = random.Random(8)
+    text = "".join(r.choice("ATGC") for _ in range(3 * m.STRETCH + 10))
+    targets = prepare_targets(spark.createDataFrame([(0, "t", text), (1, "u", text[:5])], "num long, name string, seq string"))
+    at = [0, m.STRETCH - 1, m.STRETCH, 2 * m.STRETCH - 7, len(text) - 10, len(text) - 9, len(text) - 1]
+    pairs = spark.createDataFrame([("A" * 10, 0, p) for p in at] + [("A" * 5, 1, 0), ("A" * 5, 1, 1)], "seq string, num long, pos int")
+    got = {(x.num, x.pos): (x["sub"], x["tail"]) for x in m.fitting(pairs, targets, 20, tail=True).collect()}
+    assert got == {(0, p): (text[p : p + 10], text[p : p + 20]) for p in at if p + 10 <= len(text)} | {(1, 0): (text[:5], text[:5])}
+
+
+def test_caps_beyond_a_task_are_ranked_across_tasks(spark):
+    r = random.Random(1)
+    rows = [(r.choice([0, 0, 0, 1]), r.randrange(3), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "win int, nmiss int, num long").repartition(7)
+    for most in (1, 700, 5000):
+        got = m._first_across_tasks(df, ["win"], [F.col("nmiss"), F.col("num")], most)
+        want = {x for w in (0, 1) for x in sorted(x for x in rows if x[0] == w)[:most]}
+        assert {tuple(x) for x in got.select("win", "nmiss", "num").collect()} == want
 
 
 def test_embedded_reads_of_synthetic_targets_are_found(spark):
