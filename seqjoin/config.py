@@ -14,8 +14,8 @@ from pathlib import Path
 class Config:
     """All settings, under the names they have in configuration files.
 
-    The last group is accepted so that existing files load, but has no effect here: the
-    engine is exact without sketches, and Spark manages sorting, memory and scratch space.
+    The last group is accepted so that existing files load, but has no effect here: sketches
+    only screen and take their sizes from the data, and Spark manages sorting and memory.
     """
 
     ReadFileName: str = ""
@@ -32,6 +32,8 @@ class Config:
     MatchMode: str = "best"
     MMTol: int = 0
     LogDir: str = ""
+    TempDir: str = ""
+    NoCleanTemp: bool = False
 
     BloomSize: int = field(default=4_000_000_000, metadata={"physical": True})
     NumHash: int = field(default=20, metadata={"physical": True})
@@ -39,8 +41,6 @@ class Config:
     SortPar: int = field(default=8, metadata={"physical": True})
     SortMem: str = field(default="50%", metadata={"physical": True})
     SortTemp: str = field(default="", metadata={"physical": True})
-    TempDir: str = field(default="", metadata={"physical": True})
-    NoCleanTemp: bool = field(default=False, metadata={"physical": True})
     CPUProfile: bool = field(default=False, metadata={"physical": True})
 
     def check(self, files: bool = True) -> Config:

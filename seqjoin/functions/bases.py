@@ -77,6 +77,11 @@ def mismatch_budget(length: Column, p_match: float) -> Column:
     return (F.lit(1.0 - float(p_match)) * length).cast("int")
 
 
+def first_word(text: Column) -> Column:
+    """What comes before the first blank, leading blanks aside."""
+    return F.regexp_extract(text, r"^\s*(\S*)", 1)
+
+
 def zero_padded(number: Column) -> Column:
     """Eleven digits."""
     return F.lpad(number.cast("string"), 11, "0")

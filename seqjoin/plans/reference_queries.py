@@ -13,15 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqjoin.config import Config
-from seqjoin.functions.bases import dinucleotides, hamming, mask, mismatch_budget, reverse_complement, shortened_name, truncated
+from seqjoin.functions.bases import dinucleotides, first_word, hamming, mask, mismatch_budget, reverse_complement, shortened_name, truncated
 from seqjoin.functions.sketches import bloom_parameters
 from seqjoin.operators import match as m
 from seqjoin.operators import reads as r
 from seqjoin.operators import report
 from seqjoin.operators.targets import prepare_targets, target_windows
 from seqjoin.plans import pipeline, synthetic
-from seqjoin.scratch import materialize
-from seqjoin.sources import writers
+from seqjoin.scratch import materialize, new_path
+from seqjoin.sources import readers, writers
 
 CFG = Config(Windows=(0, 20, 40), WindowWidth=20, PMatch=0.9, MinDinuc=5, MinReadLength=30, MaxReadLength=100, MMTol=1)
 EXACT = replace(CFG, PMatch=1.0, MMTol=0)
@@ -91,6 +91,43 @@ def _masked(spark: SparkSession, sf: str, **columns) -> DataFrame:
     return rows.select("read_no", *(c.alias(n) for n, c in columns.items()))
 
 
+# Files: the tables written in a format and read back
+
+
+def _written(spark: SparkSession, lines: DataFrame, suffix: str) -> str:
+    path = f"{new_path(spark, 'files')}{suffix}"
+    writers.write_lines(lines, path)
+    return path
+
+
+def scan_fastq(spark: SparkSession, sf: str) -> DataFrame:
+    reads = raw_reads(spark, sf).where("name IS NOT NULL AND seq IS NOT NULL")
+    return readers.read_fastq(spark, _written(spark, writers.fastq_lines(reads), ".fastq"))
+
+
+def scan_fasta(spark: SparkSession, sf: str) -> DataFrame:
+    return readers.read_fasta(spark, _written(spark, writers.fasta_lines(raw_targets(spark, sf)), ".fasta"))
+
+
+def _target_text(spark: SparkSession, sf: str) -> DataFrame:
+    return raw_targets(spark, sf).select(F.concat_ws("\t", "name", "seq").alias("value"))
+
+
+def scan_targets(spark: SparkSession, sf: str, suffix: str) -> DataFrame:
+    path = _written(spark, _target_text(spark, sf), suffix)
+    return readers.read_targets(spark, f"{path}/part-*{suffix.removeprefix('.txt')}" if suffix.endswith("z") else path, "text")
+
+
+def scan_prepared_targets(spark: SparkSession, sf: str) -> DataFrame:
+    """Prepared anew from the export, so numbered by place: by rank of the first number."""
+    sequences, ids = writers.target_lines(prepare_targets(raw_targets(spark, sf).orderBy("num").drop("num")))
+    return readers.read_prepared_targets(spark, _written(spark, sequences, ".txt"), _written(spark, ids, ".ids.txt.gz"))
+
+
+def scan_results(spark: SparkSession, sf: str) -> DataFrame:
+    return readers.read_results(spark, _written(spark, writers.result_lines(matched(spark, sf).results), ".txt"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     seq = F.col
     return {
@@ -131,6 +168,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "target_stat_lines": lambda s, d: writers.target_stat_lines(matched(s, d).target_stats),
         "read_stats": lambda s, d: matched(s, d).read_stats,
         "target_stats": lambda s, d: matched(s, d).target_stats,
+        "first_words": lambda s, d: _masked(s, d, word=first_word(seq("read_name"))),
+        "unique_read_lines": lambda s, d: writers.unique_read_lines(unique(s, d)),
+        "scan_fastq": scan_fastq,
+        "scan_fasta": scan_fasta,
+        "scan_text_targets": lambda s, d: scan_targets(s, d, ".txt"),
+        "scan_gzip_targets": lambda s, d: scan_targets(s, d, ".txt.gz"),
+        "scan_snappy_targets": lambda s, d: scan_targets(s, d, ".txt.sz"),
+        "scan_prepared_targets": scan_prepared_targets,
+        "scan_results": scan_results,
         "bloom_params": lambda s, d: s.createDataFrame([(n, p, *bloom_parameters(n, p)) for n, p in _BLOOMS], "items long, rate double, bits long, hashes long"),
         "synth_reads": lambda s, d: synthetic.generate_reads(s, 1000, 100),
         "synth_targets": lambda s, d: synthetic.generate_targets(s, 1000, 500),
@@ -189,6 +235,7 @@ _BEST2 = _RANKED.format(order="nmiss, num, pos, seq", most=2)
 _FIRST2 = _RANKED.format(
     order="left(tail, q), substr(tail, q + 21), num, CAST(pos + q AS VARCHAR), left(seq, q), substr(seq, q + 21)", most=3
 )
+_RAW_TARGETS = "SELECT min(row_no) AS num, 'sub_' || min(row_no) AS name, target_sub AS seq FROM results WHERE target_sub IS NOT NULL GROUP BY target_sub"
 _MASKED = "regexp_replace(seq, '[^ATGC]', 'X', 'g')"
 _PAIRS = f"CASE WHEN length(seq) >= 2 THEN CAST(len(list_distinct([substr({_MASKED}, i, 2) for i in range(1, length(seq))])) AS INTEGER) WHEN seq IS NOT NULL THEN 0 END"
 _MISSING = "SELECT seq, count, names FROM reads WHERE seq NOT IN (SELECT seq FROM named)"
@@ -233,6 +280,15 @@ def oracle_sql() -> dict[str, str]:
         "target_stat_lines": _sql("SELECT concat(target, chr(9), count(*), chr(9)) AS value FROM named GROUP BY target"),
         "read_stats": _sql("SELECT seq, names, string_agg(DISTINCT target, ';' ORDER BY target) AS targets FROM named GROUP BY seq, names"),
         "target_stats": _sql("SELECT target, count(*) AS n FROM named GROUP BY target"),
+        "first_words": "SELECT read_no, regexp_extract(read_name, '^\\s*(\\S*)', 1) AS word FROM read_in_seq",
+        "unique_read_lines": _sql("SELECT concat_ws(chr(9), seq, count, replace(names, chr(9), ' ')) AS value FROM reads"),
+        "scan_fastq": "SELECT read_name AS name, regexp_replace(seq, chr(13) || '$', '') AS seq FROM read_in_seq WHERE read_name IS NOT NULL AND seq IS NOT NULL",
+        "scan_fasta": f"SELECT '>' || name AS name, seq FROM ({_RAW_TARGETS})",
+        "scan_text_targets": f"SELECT name, seq FROM ({_RAW_TARGETS})",
+        "scan_gzip_targets": f"SELECT name, seq FROM ({_RAW_TARGETS})",
+        "scan_snappy_targets": f"SELECT name, seq FROM ({_RAW_TARGETS})",
+        "scan_prepared_targets": _sql("SELECT row_number() OVER (ORDER BY num) - 1 AS num, name, seq, len FROM targets"),
+        "scan_results": _sql("SELECT seq, sub, pos, nmiss, replace(target, chr(9), ' ') AS target, target_len, copies, replace(names, chr(9), ' ') AS names FROM named"),
         "bloom_params": """
 SELECT items, rate, bits, CAST(ceil(ln(2) * bits / items) AS BIGINT) AS hashes
 FROM (SELECT items, rate, CAST(ceil(-items * ln(rate) / (ln(2) * ln(2))) AS BIGINT) AS bits

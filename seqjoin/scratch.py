@@ -2,11 +2,14 @@
 
 A table written here cuts the lineage and survives the loss of any executor.  The folder
 is the session's ``spark.checkpoint.dir``; only where that is unset *and* the master is
-local does a temporary folder take its place.
+local, so that driver and executor are one process, does a temporary folder take its place,
+which goes when the process ends.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -24,6 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
     if not _local_folder:
         _local_folder.append(tempfile.mkdtemp(prefix="seqjoin-"))
+        atexit.register(shutil.rmtree, _local_folder[0], True)
     return "file://" + _local_folder[0]
 
 
