@@ -44,12 +44,21 @@ def profile_keys(df: DataFrame, fields: dict[str, Column], least: dict[str, Colu
     )
 
 
-def hot_keys(df: DataFrame, fields: dict[str, Column], share: float, least: dict[str, Column] | None = None) -> DataFrame:
-    """Rows of :func:`profile_keys` whose key holds at least ``share`` of all rows of ``df``.
+def count_keys(df: DataFrame, fields: dict[str, Column]) -> DataFrame:
+    """(key_field, key_value STRING, n_rows) for every value of each key field; null keys form a key of their own.
+
+    Only map-side counts travel: of a hot key one number per task.
+    """
+    sides = F.array(*(F.struct(F.lit(name).alias("key_field"), key.cast("string").alias("key_value")) for name, key in fields.items()))
+    return df.select(F.inline(sides)).groupBy("key_field", "key_value").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def hot_keys(df: DataFrame, fields: dict[str, Column], share: float) -> DataFrame:
+    """(key_field, key_value, n_rows) of keys that hold at least ``share`` of all rows of ``df``.
 
     Null and empty keys count towards the total but are never reported.
     """
     total = df.count()
-    return profile_keys(df, fields, least).where(
+    return count_keys(df, fields).where(
         F.col("key_value").isNotNull() & (F.col("key_value") != "") & (F.col("n_rows") >= F.lit(float(share)) * F.lit(total))
     )

@@ -23,7 +23,7 @@ def _rec_keys() -> dict:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rec = _table(spark, sf_dir, "rec")
-    return hot_keys(rec, _rec_keys(), 0.02, {"least_pos": F.col("pos")}).select("key_field", "key_value")
+    return hot_keys(rec, _rec_keys(), 0.02).select("key_field", "key_value")
 
 
 def p2_profile(spark: SparkSession, sf_dir: str) -> DataFrame:

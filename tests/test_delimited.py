@@ -2,6 +2,7 @@ import csv
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from seqjoin.sources.delimited import BAD, CLOSING, NEXT, PLAIN, QUOTED, START, parse_lines, parse_reads, tokenize, unquoted
@@ -37,7 +38,7 @@ def test_chunks_compose(width):
         if error < 0:
             assert count[i] == len(ends) + 1 and at[where == i].tolist() == ends
             fields = [line[a + 1 : b] for a, b in zip([-1, *ends], [*ends, len(line)])]
-            assert [unquoted(f) for f in fields] == (next(csv.reader([line])) if line else [""])
+            assert unquoted(pa.array(fields, pa.large_string())).to_pylist() == (next(csv.reader([line])) if line else [""])
 
 
 def test_no_lines():
@@ -85,6 +86,20 @@ def test_reads_and_reasons(spark):
 
 def test_other_layouts(spark):
     df = spark.createDataFrame([(1, "a,5"), (2, "b,x"), (3, '"c')], "id int, line string")
-    got = parse_lines(df, "line", ["id"], ["k", "v"], 2, [("not_a_number", "v", str.isdigit)], max_bytes=1).orderBy("id").collect()
+    got = parse_lines(df, "line", ["id"], ["k", "v"], 2, [("not_a_number", "v", r"^[0-9]+$")], max_bytes=1).orderBy("id").collect()
     assert [tuple(r) for r in got] == [(1, "a", "5", None, None), (2, None, None, "not_a_number", 2), (3, None, None, "quoting", 0)]
     assert CLOSING != PLAIN
+
+
+def test_batches_that_are_slices():
+    """Offsets that do not begin at 0, nulls, and texts of several bytes a character."""
+    from seqjoin.sources import delimited
+
+    lines = pa.array(["é" * 9, None, "@é,ACGT,+,FF", '@"', "", "@ü,ÄC,+,F", "@a,ACGT,+,FF"], pa.string()).slice(1)
+    data = np.frombuffer(lines.buffers()[2], np.uint8)
+    assert len(data) and delimited._cut(pa.py_buffer(b"abcd"), np.array([0, 1, 1, 4])).to_pylist() == ["a", "", "bcd"]
+    offsets = np.array([0, 3, 3, 10, 12])
+    first = np.array([0, 1, 2, 4])
+    small = delimited._classes(np.frombuffer(b'a,bc,"e,f,,"', np.uint8), offsets, first, 5, 4, step=2)
+    assert (small == delimited._classes(np.frombuffer(b'a,bc,"e,f,,"', np.uint8), offsets, first, 5, 4)).all()
+    assert small.tolist() == [[0, 1, 0, 3], [3, 3, 3, 3], [0, 1, 2, 0], [1, 0, 1, 3], [1, 2, 3, 3]]
