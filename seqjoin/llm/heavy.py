@@ -144,7 +144,8 @@ def frequent_values(df: DataFrame, column: str, share: float, *, slack: float =
 
     Null and empty values count towards the total but are never reported.  Candidates are
     prefixes whose estimate reaches ``slack`` of the threshold; at most 4 / (share * slack)
-    of them are looked up (more cannot be that heavy but by a bad draw, which raises).  The
+    of them are looked up (more cannot be that heavy but by a bad draw; the sketch is then made
+    again, four times as wide).  The
     second scan counts them exactly, so no reported value is wrong; a missed one needs the
     median of ``depth`` counters to be off by (1 - slack) of the threshold.  Ties need no
     rule; an empty table gives an empty result.
@@ -155,9 +156,11 @@ def frequent_values(df: DataFrame, column: str, share: float, *, slack: float =
     if not total:
         return spark.createDataFrame([], schema)
     values = df.select(F.col(column).cast("string").alias("v")).where("v <> ''")
-    prefixes, estimates = build_sketch(values, "v", depth, width_bits).heavy(share * total * slack)
-    if len(prefixes) > 4 / (share * slack):
-        raise RuntimeError("the sketch is too narrow for this share; raise width_bits")
+    while True:
+        prefixes, estimates = build_sketch(values, "v", depth, width_bits).heavy(share * total * slack)
+        if len(prefixes) <= 4 / (share * slack):
+            break
+        width_bits += 2  # a bad draw, or a sketch too narrow for this share: once more, wider
     if not len(prefixes):
         return spark.createDataFrame([], schema)
     shift = 64 - LEVELS[-1]

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from seqjoin.scratch import materialize
 
+#: So many membership patterns, the largest, are routed as they are.
 MOST_PATTERNS = 4096
 
 
@@ -109,22 +110,25 @@ def route(patterns: dict[frozenset[str], int], goals: Sequence[Goal], total: int
     return solve(high)[1]
 
 
-def mix(df: DataFrame, item: str, sources: Column, size: str, goals: Sequence[Goal], *, seed: int = 0, bucket_items: int = 100_000) -> DataFrame:
+def mix(df: DataFrame, item: str, sources: Column, size: str, goals: Sequence[Goal], *, seed: int = 0, bucket_items: int = 100_000, most_patterns: int = MOST_PATTERNS) -> DataFrame:
     """(item, source_name, uses, size): which items serve which source, and how often.
 
     ``sources`` is an ARRAY<STRING> of the sources an item belongs to; null elements do not
     count.  The mixture's size is that of all items with any source, named in the goals or
     not.  Within one source an item is used at most ``max_repeats`` times.  Null sizes count
     as 0; items without a goal's source are not used; an empty table gives an empty result.
+
+    All combinations of sources are routed.  If there are more than ``most_patterns``, those
+    that hold least are first merged: their items count for one of their sources, the one
+    whose goal is largest for what it has.  No item is lost by it and caps hold as before;
+    the routing of those few items is then no longer the cheapest one.
     """
     names = [g.source for g in goals]
     known = F.array_sort(F.array_distinct(F.filter(sources, lambda s: s.isNotNull())))
     rows = df.select(df[item].alias("item"), known.alias("known"), F.coalesce(df[size].cast("bigint"), F.lit(0)).alias("size"))
     rows = rows.where(F.size("known") > 0).withColumn("pattern", F.array_intersect("known", F.lit(names)))
     rows = materialize(rows.select("item", "size", F.array_join("pattern", "\x1f").alias("pattern"), F.xxhash64(F.lit(seed), "item").alias("h")), "mixture")
-    found = rows.groupBy("pattern").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(MOST_PATTERNS + 1).collect()
-    if len(found) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} combinations of sources")
+    rows, found = _routable(rows, names, goals, most_patterns)
     sets = {frozenset(r["pattern"].split("\x1f")): r["size"] for r in found if r["pattern"]}
     flows = route(sets, goals, sum(r["size"] for r in found))
 
@@ -153,6 +157,48 @@ def mix(df: DataFrame, item: str, sources: Column, size: str, goals: Sequence[Go
     )
 
 
+def _routable(rows: DataFrame, names: Sequence[str], goals: Sequence[Goal], most: int) -> tuple[DataFrame, list]:
+    """The rows with at most ``most`` + len(goals) + 1 patterns, and (pattern, size, n) of each."""
+    counted = rows.groupBy("pattern").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    found = counted.orderBy(F.desc("size"), "pattern").limit(most + 1).collect()  # bounded
+    if len(found) <= most:
+        return rows, found
+    largest = F.broadcast(rows.sparkSession.createDataFrame([(r["pattern"],) for r in found[:most]], "pattern string").withColumn("kept", F.lit(True)))
+    supply = {r["source"]: r["size"] for r in counted.select(F.explode(F.split("pattern", "\x1f")).alias("source"), "size").groupBy("source").agg(F.sum("size").alias("size")).collect()}  # a row per goal
+    wanted = sorted(goals, key=lambda g: (-g.share / max(1, supply.get(g.source, 0)), g.source))
+    members = F.split("pattern", "\x1f")
+    one = F.filter(F.lit([g.source for g in wanted]), lambda x: F.array_contains(members, x))[0]
+    merged = F.when(F.col("kept").isNotNull() | (F.col("pattern") == ""), F.col("pattern")).otherwise(one)
+    rows = materialize(rows.join(largest, "pattern", "left").withColumn("pattern", merged).drop("kept"), "mixture")
+    return rows, rows.groupBy("pattern").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
+
+
+def mixing_faults(mixed: DataFrame, df: DataFrame, item: str, sources: Column, size: str, goals: Sequence[Goal]) -> DataFrame:
+    """Per goal: uses above the cap, items that do not belong to the source, and whether the share is short though items were left.
+
+    A share is short if it misses its goal by more than one item's size and some item of the
+    source was used less often than it might have been.
+    """
+    spark = mixed.sparkSession
+    wanted = F.broadcast(spark.createDataFrame([(g.source, float(g.share), int(g.max_repeats)) for g in goals], "source_name string, goal_share double, max_repeats int"))
+    each = df.select(item, F.coalesce(df[size].cast("bigint"), F.lit(0)).alias("__size"), F.array_distinct(sources).alias("__known"))
+    each = each.where(F.size(F.filter("__known", lambda x: x.isNotNull())) > 0)
+    total = each.agg(F.coalesce(F.sum("__size"), F.lit(0))).head()[0]
+    owned = each.select(item, "__size", F.explode("__known").alias("source_name")).withColumn("owned", F.lit(True))
+    both = owned.join(mixed.select(item, "source_name", "uses"), [item, "source_name"], "full").join(wanted, "source_name")
+    rows = both.groupBy("source_name", "goal_share").agg(
+        F.count_if(F.col("uses") > F.col("max_repeats")).alias("over_repeats"),
+        F.count_if(F.col("owned").isNull()).alias("of_others"),
+        F.coalesce(F.sum(F.col("uses") * F.col("__size")), F.lit(0)).alias("got"),
+        F.count_if((F.coalesce("uses", F.lit(0)) < F.col("max_repeats")) & (F.col("__size") > 0)).alias("left"),
+        F.max("__size").alias("largest"),
+    )
+    short = (F.col("got") + F.col("largest") < F.col("goal_share") * F.lit(total)) & (F.col("left") > 0)
+    return wanted.select("source_name").join(rows.withColumn("short", short.cast("bigint")), "source_name", "left").select(
+        "source_name", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("over_repeats", "of_others", "short"))
+    )
+
+
 def share_report(mixed: DataFrame, goals: Sequence[Goal]) -> DataFrame:
     """Per goal: documents, uses and tokens in the mixture, and the share really reached."""
     wanted = mixed.sparkSession.createDataFrame([(g.source, float(g.share), int(g.max_repeats)) for g in goals], "source_name string, goal_share double, max_repeats int")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -125,3 +125,28 @@ def fill_report(packed: DataFrame, capacities: Sequence[tuple[str, int]]) -> Dat
         F.when(F.col("containers") > 0, F.col("tokens") / (F.col("containers") * capacity)).alias("filled"),
         F.ceil(F.col("tokens") / capacity).alias("least_containers"),
     )
+
+
+def packing_faults(packed: DataFrame, sized: DataFrame, item: str, size: str, capacities: Sequence[tuple[str, int]]) -> DataFrame:
+    """Per kind: items, and how many containers or items break a rule.
+
+    ``over_capacity``: containers that hold more than their capacity.  ``wrong_size``: items
+    whose parts do not add up to their size, or that are missing.  ``split_needlessly``: items
+    in several parts though they fit into a container.  ``not_joined``: parts that do not
+    begin where the one before ends.
+    """
+    kinds = sized.sparkSession.createDataFrame([(k, int(c)) for k, c in capacities], "pack_kind string, capacity bigint")
+    over = packed.groupBy("pack_kind", "container").agg(F.sum("part_size").alias("held")).join(F.broadcast(kinds), "pack_kind").where("held > capacity")
+    over = over.groupBy("pack_kind").agg(F.count(F.lit(1)).alias("over_capacity"))
+    before = F.coalesce(F.lag(F.col("part_start") + F.col("part_size")).over(Window.partitionBy("pack_kind", item).orderBy("part_no")), F.lit(0))
+    parts = packed.withColumn("gap", (F.col("part_start") != before).cast("int"))
+    got = parts.groupBy("pack_kind", item).agg(F.sum("part_size").alias("got"), F.count(F.lit(1)).alias("parts"), F.sum("gap").alias("gaps"))
+    wanted = sized.select(item, F.coalesce(F.col(size), F.lit(0)).alias("wanted"), F.inline(F.array(*(F.struct(F.lit(k).alias("pack_kind"), F.lit(int(c)).alias("capacity")) for k, c in capacities))))
+    each = wanted.join(got, ["pack_kind", item], "full")
+    items = each.groupBy("pack_kind").agg(
+        F.count(F.lit(1)).alias("n_items"),
+        F.count_if(~F.col("wanted").eqNullSafe(F.col("got"))).alias("wrong_size"),
+        F.count_if((F.col("parts") > 1) & (F.col("wanted") <= F.col("capacity"))).alias("split_needlessly"),
+        F.coalesce(F.sum("gaps"), F.lit(0)).alias("not_joined"),
+    )
+    return items.join(over, "pack_kind", "left").fillna(0).select("pack_kind", "n_items", "over_capacity", "wrong_size", "split_needlessly", "not_joined")

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqjoin.llm.heavy import frequent_values
-from seqjoin.llm.mixture import Goal, mix, share_report
-from seqjoin.llm.packing import fill_report, pack
+from seqjoin.llm.mixture import Goal, mix, mixing_faults, share_report
+from seqjoin.llm.packing import fill_report, pack, packing_faults
 from seqjoin.llm.residue import classified_templates, residue, scan_documents
 from seqjoin.llm.seen import SeenStore, answer_rates, arrive, seen_reads, sequence_key, unverified_rates
 from seqjoin.llm.spans import shared_spans
@@ -144,40 +144,90 @@ FROM read_in_seq
 
 
 def _capacities(spark: SparkSession, sf_dir: str) -> list[tuple[str, int]]:
-    rows = _table(spark, sf_dir, "pack_sizes").limit(1001).collect()
-    if len(rows) > 1000:
-        raise ValueError("pack_sizes is meant to be a short list")
-    return sorted((r.pack_kind, r.capacity_tokens) for r in rows)
+    """All tasks; a list of parameters, each of which packs every document once more."""
+    return sorted((r.pack_kind, r.capacity_tokens) for r in _table(spark, sf_dir, "pack_sizes").collect())
+
+
+def _sizes(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+    return materialize(count_tokens(_table(spark, sf_dir, "documents"), "text", ["doc_id", *keep]), "sizes")
 
 
 def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = count_tokens(_table(spark, sf_dir, "documents"), "text", ["doc_id"])
-    return pack(materialize(sized, "sizes"), "doc_id", "n_tokens", _capacities(spark, sf_dir))
+    return pack(_sizes(spark, sf_dir), "doc_id", "n_tokens", _capacities(spark, sf_dir))
 
 
 def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_report(p7_packed(spark, sf_dir), _capacities(spark, sf_dir))
 
 
+def p7_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes, capacities = _sizes(spark, sf_dir), _capacities(spark, sf_dir)
+    packed = materialize(pack(sizes, "doc_id", "n_tokens", capacities), "packed")
+    return packing_faults(packed, sizes, "doc_id", "n_tokens", capacities)
+
+
+_P7_FAULTS = """
+SELECT pack_kind, (SELECT count(*) FROM documents) AS n_items, CAST(0 AS BIGINT) AS over_capacity, CAST(0 AS BIGINT) AS wrong_size,
+  CAST(0 AS BIGINT) AS split_needlessly, CAST(0 AS BIGINT) AS not_joined
+FROM pack_sizes
+"""
+
 # 8: mixtures
 
 
 def _goals(spark: SparkSession, sf_dir: str) -> list[Goal]:
-    rows = _table(spark, sf_dir, "mix_goals").limit(1001).collect()
-    if len(rows) > 1000:
-        raise ValueError("mix_goals is meant to be a short list")
+    rows = _table(spark, sf_dir, "mix_goals").collect()  # a list of parameters
     return [Goal(r.source_name, r.goal_share, r.max_repeats) for r in sorted(rows, key=lambda r: r.source_name)]
 
 
+def _source() -> Column:
+    return F.array(F.lower(F.trim("source")))
+
+
+def _sources_and_language() -> Column:
+    return F.array(F.lower(F.trim("source")), F.concat(F.lit("lang:"), "lang"))
+
+
+def _overlapping_goals(spark: SparkSession, sf_dir: str) -> list[Goal]:
+    """Half of the mixture by source, half by language: every document with both may serve either."""
+    goals = [Goal(g.source, g.share / 2, g.max_repeats) for g in _goals(spark, sf_dir)]
+    return goals + [Goal(f"lang:{x}", share, 2) for x, share in (("de", 0.15), ("en", 0.1), ("es", 0.15), ("fr", 0.1))]
+
+
+def _mixed(sizes: DataFrame, sources: Column, goals: list[Goal]) -> DataFrame:
+    return mix(sizes.where(F.col("source").isNotNull()), "doc_id", sources, "n_tokens", goals)
+
+
 def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").where(F.col("source").isNotNull())
     sized = count_tokens(docs, "text", ["doc_id", "source"])
-    return mix(sized, "doc_id", F.array(F.lower(F.trim("source"))), "n_tokens", _goals(spark, sf_dir)).withColumnRenamed("size", "n_tokens")
+    return mix(sized, "doc_id", _source(), "n_tokens", _goals(spark, sf_dir)).withColumnRenamed("size", "n_tokens")
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return share_report(p8_mixture(spark, sf_dir).withColumnRenamed("n_tokens", "size"), _goals(spark, sf_dir))
 
+
+def p8_overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(_sizes(spark, sf_dir, "source", "lang"), _sources_and_language(), _overlapping_goals(spark, sf_dir))
+
+
+def p8_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = _sizes(spark, sf_dir, "source", "lang").where(F.col("source").isNotNull())
+    plain, twofold = _goals(spark, sf_dir), _overlapping_goals(spark, sf_dir)
+    one = mixing_faults(_mixed(sizes, _source(), plain), sizes, "doc_id", _source(), "n_tokens", plain)
+    two = mixing_faults(_mixed(sizes, _sources_and_language(), twofold), sizes, "doc_id", _sources_and_language(), "n_tokens", twofold)
+    return one.withColumn("goals", F.lit("sources")).unionByName(two.withColumn("goals", F.lit("sources and languages")))
+
+
+_P8_FAULTS = """
+SELECT *, CAST(0 AS BIGINT) AS over_repeats, CAST(0 AS BIGINT) AS of_others, CAST(0 AS BIGINT) AS short FROM (
+  SELECT 'sources' AS goals, source_name FROM mix_goals
+  UNION ALL SELECT 'sources and languages', source_name FROM mix_goals
+  UNION ALL SELECT 'sources and languages', unnest(['lang:de', 'lang:en', 'lang:es', 'lang:fr'])
+)
+"""
+
 # 9: template residue
 
 
@@ -213,8 +263,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_unverified": p5_unverified,
         "p7_packed": p7_packed,
         "p7_fill": p7_fill,
+        "p7_faults": p7_faults,
         "p8_mixture": p8_mixture,
         "p8_shares": p8_shares,
+        "p8_overlapping": p8_overlapping,
+        "p8_faults": p8_faults,
         "p9_found": p9_found,
         "p9_kinds": p9_kinds,
         "p9_templates": p9_templates,
@@ -232,4 +285,6 @@ def oracle_sql() -> dict[str, str]:
         "p4_removable": _PIECES.format(which="rec_id > low"),
         "p5_found": _P5,
         "p5_rates": _P5_RATES,
+        "p7_faults": _P7_FAULTS,
+        "p8_faults": _P8_FAULTS,
     }

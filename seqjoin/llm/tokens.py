@@ -5,11 +5,15 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator, Sequence
 from functools import cache
+from pathlib import PurePath
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
-#: A byte-level BPE vocabulary as ranks; every executor must have the file.
+from seqjoin.operators.spread import spread
+
+#: A byte-level BPE vocabulary as ranks.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How that vocabulary's tokenizer splits a text before merging (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -26,14 +30,20 @@ def encoding(path: str):
 
 
 def count_tokens(df: DataFrame, text: str, keep: Sequence[str], vocabulary: str = VOCABULARY) -> DataFrame:
-    """``keep`` columns and ``n_tokens`` (BIGINT) of the whole text; 0 for null and empty texts."""
+    """``keep`` columns and ``n_tokens`` (BIGINT) of the whole text; 0 for null and empty texts.
+
+    The driver hands the vocabulary to the executors.  Texts are encoded one call each: the
+    tokenizer's batch call and its array form took 1.6 and 1.4 times as long.
+    """
     keep = list(keep)
+    df.sparkSession.sparkContext.addFile(vocabulary)
+    name = PurePath(vocabulary).name
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), "n_tokens bigint"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(vocabulary).encode_ordinary
+        encode = encoding(SparkFiles.get(name)).encode_ordinary
         for batch in batches:
             sizes = [len(encode(x.as_py())) if x.is_valid else 0 for x in batch.column(len(keep))]
             yield pa.record_batch([*(batch.column(k) for k in range(len(keep))), pa.array(sizes, pa.int64())], [*keep, "n_tokens"])
 
-    return df.select(*keep, df[text].cast("string").alias("__text")).mapInArrow(count, schema)
+    return spread(df.select(*keep, df[text].cast("string").alias("__text"))).mapInArrow(count, schema)

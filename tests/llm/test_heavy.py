@@ -39,3 +39,8 @@ def test_ties_and_empty(spark):
 def test_sketches_of_many_tasks_are_added_in_groups(spark):
     df = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN 'hot' ELSE CAST(id AS STRING) END AS v").repartition(300)
     assert [(r.v, r.n_rows) for r in frequent_values(df, "v", 0.1).collect()] == [("hot", 1000)]
+
+
+def test_a_sketch_too_narrow_is_made_again(spark):
+    df = spark.range(4000).selectExpr("CASE WHEN id % 4 = 0 THEN 'hot' ELSE CAST(id AS STRING) END AS v")
+    assert [(r.v, r.n_rows) for r in frequent_values(df, "v", 0.1, depth=1, width_bits=1).collect()] == [("hot", 1000)]

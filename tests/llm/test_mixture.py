@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from seqjoin.llm.mixture import Flow, Goal, mix, route, share_report
+from seqjoin.llm.mixture import Flow, Goal, mix, mixing_faults, route, share_report
 
 GOALS = [Goal("a", 0.5, 1), Goal("b", 0.3, 4), Goal("c", 0.15, 2), Goal("none", 0.05, 4)]
 
@@ -47,3 +47,27 @@ def test_empty(spark):
     df = spark.createDataFrame([], "id long, source string, size int")
     got = mix(df, "id", F.array("source"), "size", GOALS)
     assert got.count() == 0 and all(x.share == 0 for x in share_report(got, GOALS).collect())
+
+
+def test_overlapping_sources_beyond_the_patterns_routed(spark):
+    """Fourteen sources that overlap freely: more combinations than are routed as they are, yet nothing is lost and caps hold."""
+    r = random.Random(9)
+    names = [f"s{i:02d}" for i in range(14)]
+    goals = [Goal(n, 1 / 14, 3) for n in names]
+    rows = [(i, r.sample(names, r.randrange(1, 8)) + [None] * (i % 2), r.randrange(1, 50)) for i in range(1500)] + [(9999, ["other"], 7), (9998, [], 5), (9997, None, 5)]
+    df = spark.createDataFrame(rows, "id long, known array<string>, size int")
+    for most in (4096, 40):
+        mixed = mix(df, "id", F.col("known"), "size", goals, most_patterns=most)
+        faults = mixing_faults(mixed, df, "id", F.col("known"), "size", goals).collect()
+        assert [(x.over_repeats, x.of_others) for x in faults] == [(0, 0)] * 14
+        shares = [x.share for x in share_report(mixed, goals).collect()]
+        assert abs(sum(x.uses * x["size"] for x in mixed.collect()) - sum(x[2] for x in rows[:1501])) <= 14 * 50
+        assert max(abs(x - 1 / 14) for x in shares) < 0.01
+
+
+def test_faults_are_seen(spark):
+    df = spark.createDataFrame([(1, "a", 10), (2, "a", 10), (3, "b", 10)], "id long, source string, size int")
+    mixed = spark.createDataFrame([(1, "a", 3, 10), (3, "a", 1, 10), (3, "b", 1, 10)], "id long, source_name string, uses int, size int")
+    goals = [Goal("a", 0.1, 2), Goal("b", 0.9, 4), Goal("none", 0.1, 1)]
+    got = {x.source_name: (x.over_repeats, x.of_others, x.short) for x in mixing_faults(mixed, df, "id", F.array("source"), "size", goals).collect()}
+    assert got == {"a": (1, 1, 0), "b": (0, 0, 1), "none": (0, 0, 0)}

@@ -1,7 +1,7 @@
 import random
 from collections import Counter, defaultdict
 
-from seqjoin.llm.packing import fill_report, fullest, pack, pack_items
+from seqjoin.llm.packing import fill_report, fullest, pack, pack_items, packing_faults
 from seqjoin.llm.tokens import count_tokens, encoding, VOCABULARY
 
 
@@ -56,3 +56,12 @@ def test_token_counts(spark):
     enc = encoding(VOCABULARY)
     assert got == {i: len(enc.encode_ordinary(t)) if t else 0 for i, t in enumerate(texts)}
     assert all(enc.decode(enc.encode_ordinary(t)) == t for t in texts if t)
+
+
+def test_faults_are_seen(spark):
+    sized = spark.createDataFrame([(1, 50), (2, 150), (3, 20), (4, None)], "doc long, size int")
+    good = pack(sized, "doc", "size", [("a", 100)])
+    assert [tuple(r) for r in packing_faults(good, sized, "doc", "size", [("a", 100)]).collect()] == [("a", 4, 0, 0, 0, 0)]
+    rows = [("a", 0, 1, 0, 0, 25), ("a", 0, 1, 1, 30, 25), ("a", 0, 2, 0, 0, 100), ("a", 1, 2, 1, 100, 40), ("a", 2, 4, 0, 0, 0)]
+    bad = spark.createDataFrame(rows, "pack_kind string, container long, doc long, part_no int, part_start long, part_size long")
+    assert [tuple(r) for r in packing_faults(bad, sized, "doc", "size", [("a", 100)]).collect()] == [("a", 4, 1, 2, 1, 1)]
