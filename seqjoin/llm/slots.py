@@ -97,7 +97,7 @@ def _latin(word: str) -> float:
 def is_latin_filler(words: list[str]) -> bool:
     """Whether words are imitation Latin: hardly a word that only running text of a modern language has, nearly all of Latin form.
 
-    Two known words of the usual filler suffice with that; without any, the words have to be
+    Two known words of the usual filler, of three letters or more, suffice with that; without, the words have to be
     eight or more, none of them such a word, and look Latin nearly throughout.
     """
     n, running = len(words), 0
@@ -108,10 +108,10 @@ def is_latin_filler(words: list[str]) -> bool:
     if n < 4:
         return False
     different = set(words)
-    known = len(different & _LATIN)
-    if known >= 0.6 * len(different):
+    known = different & _LATIN
+    if len(known) >= 0.6 * len(different):
         return True
-    return (known >= 2 or n >= 8 and not running) and sum(map(_latin, words)) >= 0.8 * n
+    return (sum(len(w) > 2 for w in known) >= 2 or n >= 8 and not running) and sum(map(_latin, words)) >= 0.7 * n
 
 
 def _is_mashed(words: list[str]) -> bool:
