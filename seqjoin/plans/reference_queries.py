@@ -52,7 +52,8 @@ def windows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return m.candidates(windows(spark, sf), target_windows(targets(spark, sf), CFG.WindowWidth))
+    reads = materialize(unique(spark, sf), "reads")
+    return m.candidates(r.read_windows(reads, CFG), target_windows(targets(spark, sf), CFG.WindowWidth), m.windows_at_most(reads, CFG))
 
 
 def fits(spark: SparkSession, sf: str, tail: bool = False) -> DataFrame:
