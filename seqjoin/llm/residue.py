@@ -109,6 +109,10 @@ _SOFT_WRAP = re.compile(r"(?<=[^\W\d_,])[ \t]*\n[ \t]*(?=[^\W\d_A-ZÀ-Ý])")
 _SENTENCE_END = re.compile(r"(?<=[.!?…])[*_)\]]*\s+")
 
 
+#: A longer run of characters without a blank, such as an encoded image, is masked in messages like a number.
+LONG_WORD = 64
+
+
 def masked(said: str) -> str:
     """Lower case, HTTP error numbers as ``<code>``, other numbers as ``<num>``."""
     text = said.lower()
@@ -119,7 +123,7 @@ def messages_of_line(line: str) -> Iterator[tuple[str, bool]]:
     """(message, whether it stands on its own) of every sentence of a masked line that has words."""
     if not _LETTERS.search(line):
         return
-    pieces = [" ".join(_MARKS.sub("", x).split()) for x in _SENTENCE_END.split(line)]
+    pieces = [" ".join(w if len(w) <= LONG_WORD else "<long>" for w in _MARKS.sub("", x).split()) for x in _SENTENCE_END.split(line)]
     sizes = [x.count(" ") + 1 for x in pieces]
     total, before = sum(sizes), 0
     for piece, size in zip(pieces, sizes):

@@ -119,6 +119,12 @@ def test_length_hides_nothing():
     assert kinds(notebook(CODE, ("output", "\n".join(f"Template {{{{item_{i}}}}}" for i in range(3))))) == {"slot"}
 
 
+def test_long_words_are_masked_in_messages_only():
+    image = "iVBORwKGgo+" * 50
+    assert scan_text(f"The picture {image} was not found.")[1] == {"the picture <long> was not found.": True}
+    assert scan_text(notebook(CODE, ("output", image)))[1] == {} and scan_text(f"{image}{{{{name}}}}")[0] == "slot"
+
+
 def test_verdicts_come_from_templates(spark):
     """A name in a message hides what it is; where the name varies, the template shows it."""
     names = ["budgets", "gauges", "harvests", "kilometres", "ledgers", "minutes"]
