@@ -29,16 +29,19 @@ _SLOTS = re.compile(
     r"|(?<!\w)(?i:(?:dd|tt|jj)([./-])mm\1(?:yyyy|jjjj|aaaa|yy)|mm([./-])dd\2yyyy|(?:yyyy|jjjj|aaaa)([./-])mm\3(?:dd|tt|jj))(?!\w)"
     r"|(?m:(?<=: )(?:TBD|TBA|T\.B\.D\.|_{5,})[ \t]*[.]?$)"
 )
-_SLOT_START = re.compile(
-    r"\{(?:[{%]|[^\W\d_])|<[%<]|<[ \t]*[^\W\d_]|[\[(][\[( \t]*[^\W\d_]|\$[{A-Z]|%%?[A-Z]|##[A-Z]|@@[A-Z]|__[A-Z]|(?<!_)_{5}|X[xX]"
-    r"|(?:INSERT|ENTER|YOUR|REPLACE|FILL|PUT|CHANGE)_|TB[AD]|T\.B|[dDtTjJ]{2}[./-][mM]|[mM]{2}[./-][dD]|[yYjJaA]{4}[./-][mM]"
+# Where a slot may start: at a mark, or at a word if the text has one of these at all.
+_MARK_START = re.compile(r"[{<\[($%#@_](?=[{%<\[(#@_=\- \t]*[^\W\d_]|____)")
+_WORD_START = re.compile(
+    r"[{<\[($%#@_](?=[{%<\[(#@_=\- \t]*[^\W\d_]|____)|X[xX]|(?:INSERT|ENTER|YOUR|REPLACE|FILL|PUT|CHANGE)_|TB[AD]|T\.B|[dDtTjJ]{2}[./-][mM]|[mM]{2}[./-][dD]|[yYjJaA]{4}[./-][mM]"
 )
+_HINTS = ("XX", "Xx", "INSERT_", "ENTER_", "YOUR_", "REPLACE_", "FILL_", "PUT_", "CHANGE_", "TBA", "TBD", "T.B", "mm", "MM", "Mm", "mM")
 
 
 def without_slots(text: str) -> tuple[str, bool]:
     """The text with every unfilled slot of a template as ``<slot>``, and whether there was one."""
     kept, at = [], 0
-    for m in _SLOT_START.finditer(text):
+    starts = _WORD_START if any(h in text for h in _HINTS) else _MARK_START
+    for m in starts.finditer(text):
         if m.start() >= at and (found := _SLOTS.match(text, m.start())):
             kept += [text[at : m.start()], " <slot> "]
             at = found.end()
